@@ -32,8 +32,19 @@ def first_match(text: Column, pattern: str) -> Column:
     return F.regexp_substr(text, F.lit(java(pattern, True)))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
+# All white space of a Unicode-aware strip, for the trim functions.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def words(text: Column) -> Column:
@@ -43,8 +54,9 @@ def words(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines of a text; a trailing line break opens no further line."""
-    parts = F.split(text, LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_BREAK), lambda parts: F.when(
+        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
+    ).otherwise(parts))
 
 
 def _every(spans: str) -> str:
@@ -66,11 +78,6 @@ _MAP_FROM = _SPACES + _SINGLE + _DOUBLE + _every(rules.ZERO_WIDTH)
 _MAP_TO = " " * len(_SPACES) + "'" * len(_SINGLE) + '"' * len(_DOUBLE)
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _where_present(text: Column, needles: list[str], then) -> Column:
     """Run the costly ``then`` only on texts that hold one of the needles."""
     def choose(t: Column) -> Column:

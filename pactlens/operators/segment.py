@@ -81,8 +81,8 @@ def line_kinds(lines: DataFrame) -> DataFrame:
     )
     is_title = (
         ~F.col("is_major")
-        & T.matches(line, rules.DOCUMENT_TITLE)
         & (T.words(line) <= rules.MAX_TITLE_WORDS)
+        & T.matches(line, rules.DOCUMENT_TITLE)
     )
     return parts.select(
         *lines.columns, "mark", "rest", "n_words",
@@ -131,7 +131,7 @@ def resolve_long_headings(marked: DataFrame) -> DataFrame:
 
 
 def _heading(text: Column) -> Column:
-    return F.regexp_replace(T.strip(text), r"[.:\- ]+\z", "")
+    return F.rtrim(T.strip(text), F.lit(".:- "))
 
 
 def carry_headings(resolved: DataFrame) -> DataFrame:
