@@ -112,63 +112,57 @@ def _either_way(a: Column, b: Column, first: str, second: str) -> Column:
     return (_has(a, first) & _has(b, second)) | (_has(b, first) & _has(a, second))
 
 
-def _pair_score(a: Column, b: Column, cos: Column, small: Column, threshold: float) -> Column:
-    """Priority of a pair; the summands are added in a fixed order."""
-    add = lambda cond, value: F.when(cond, value).otherwise(0.0)
-    same, friends = _same_category(a, b), _affine_categories(a, b)
-    both = F.bit_count(a["kw"].bitwiseAND(b["kw"]))
-    plus = lambda acc, _: acc + 0.40
-    crossed = F.when((F.size(a["refs"]) == 0) & (F.size(b["refs"]) == 0), 0.0).otherwise(F.aggregate(
-        F.concat(_pointing(a, b), _pointing(b, a)), F.lit(0.0), plus
-    ))
-    linked = (
-        crossed
-        + F.when(same, 0.35).when(friends, 0.30).otherwise(0.0)
-        + F.when(both >= 2, 0.25).when(both == 1, 0.15).otherwise(0.0)
-        + add(cos >= threshold, 0.25)
-        + add(_either_way(a["flags"], b["flags"], "cancel", "renewal"), 0.40)
-        + add(_either_way(a["flags"], b["flags"], "modify", "notify"), 0.40)
-        + add(_has(a["flags"], "TEMPORAL") & _has(b["flags"], "TEMPORAL"), 0.35)
-    )
-    any_flags = a["flags"].bitwiseOR(b["flags"])
+def _either_way_sql(first: str, second: str) -> str:
+    f, g = _BIT[first], _BIT[second]
+    return f"((a.flags & {f} != 0 AND b.flags & {g} != 0) OR (b.flags & {f} != 0 AND a.flags & {g} != 0))"
+
+
+# The pair kernel is SQL text: it is one expression, read once, not thousands of calls.
+
+_CROSS_REFS = "concat(filter(a.refs, r -> r = b.own), filter(b.refs, r -> r = a.own))"
+
 
-    def provisos(s: Column) -> Column:
-        weight = F.when((s > 0) | small, 0.30).otherwise(0.15)
-        total = s + F.when(_has(any_flags, "EXCEPTS"), weight).otherwise(0.0) + F.when(_has(any_flags, "QUALIFIES"), weight).otherwise(0.0)
-        # Below 0.2 there is at most one shared keyword, which is no reason by itself.
-        return T.let(total, lambda t: F.when(small & (t < 0.2), 0.30).otherwise(t))
-
-    return T.let(linked, provisos)
-
-
-def _pointing(a: Column, b: Column) -> Column:
-    """The references of one clause to the section that the other owns."""
-    return F.filter(a["refs"], lambda r: r == b["own"])
-
-
-def _best_partners(left: Column, right: Column, sims: Column, small: Column, diagonal: bool, threshold: float, cap: int) -> Column:
-    """X5, X14, X15 within two blocks: the best later partners of every left clause."""
-    def of(a: Column, n: Column) -> Column:
-        candidates = F.transform(right, lambda b, m: F.struct(
-            (-_pair_score(a, b, F.coalesce(sims[n][m], F.lit(0.0)), small, threshold)).alias("minus"),
-            b["i"].alias("j"), m.alias("m"),
-        ))
-        if diagonal:
-            candidates = F.transform(
-                F.slice(right, n + 2, F.size(right)),
-                lambda b, m: F.struct(
-                    (-_pair_score(a, b, F.coalesce(sims[n][m + n + 1], F.lit(0.0)), small, threshold)).alias("minus"),
-                    b["i"].alias("j"), (m + n + 1).alias("m"),
+def _score_sql(cos: str, small: str, threshold: float) -> str:
+    """Priority of the pair (a, b); the summands are added in a fixed order."""
+    temporal, excepts, qualifies = _BIT["TEMPORAL"], _BIT["EXCEPTS"], _BIT["QUALIFIES"]
+    linked = f"""
+        if(size(a.refs) = 0 AND size(b.refs) = 0, 0D, aggregate({_CROSS_REFS}, 0D, (s, r) -> s + 0.40D))
+        + CASE WHEN a.cat = b.cat AND a.cat <> 0 THEN 0.35D
+               WHEN getbit(a.friends, greatest(b.cat, 0)) = 1 THEN 0.30D ELSE 0D END
+        + CASE WHEN bit_count(a.kw & b.kw) >= 2 THEN 0.25D WHEN a.kw & b.kw <> 0 THEN 0.15D ELSE 0D END
+        + if({cos} >= {threshold}D, 0.25D, 0D)
+        + if({_either_way_sql('cancel', 'renewal')}, 0.40D, 0D)
+        + if({_either_way_sql('modify', 'notify')}, 0.40D, 0D)
+        + if(a.flags & b.flags & {temporal} <> 0, 0.35D, 0D)"""
+    weight = f"if(s > 0 OR {small}, 0.30D, 0.15D)"
+    total = f"""transform(array({linked}), s -> s
+        + if((a.flags | b.flags) & {excepts} <> 0, {weight}, 0D)
+        + if((a.flags | b.flags) & {qualifies} <> 0, {weight}, 0D))[0]"""
+    # Below 0.2 there is at most one shared keyword, which is no reason by itself.
+    return f"transform(array({total}), t -> if({small} AND t < 0.2D, 0.30D, t))[0]"
+
+
+def _best_partners(right: str, small: str, diagonal: bool, threshold: float, cap: int) -> Column:
+    """X5, X14, X15 within two blocks: the best later partners of every clause in ``rows``.
+
+    ``sims[n][m]`` is the similarity of the ``n``-th left and the ``m``-th right clause.
+    """
+    skip = "n + 1" if diagonal else "0"
+    score = _score_sql(f"coalesce(sims[n][m + {skip}], 0D)", small, threshold)
+    return F.expr(f"""
+        flatten(transform(rows, (a, n) -> transform(
+            slice(array_sort(filter(
+                transform(
+                    slice({right}, {skip} + 1, size({right})),
+                    (b, m) -> struct(-{score} AS minus, b.i AS j, m + {skip} AS m)
                 ),
-            )
-        kept = F.filter(candidates, lambda c: small | (c["minus"] <= -0.25))
-        return F.transform(F.slice(F.array_sort(kept), 1, cap), lambda c: T.let(right[c["m"]], lambda b: F.struct(
-            c["minus"].alias("minus"), a["i"].alias("i"), c["j"].alias("j"),
-            F.concat(_pointing(a, b), _pointing(b, a)).alias("cross_refs"),
-            sims[n][c["m"]].alias("cos"), a.alias("a"), b.alias("b"),
+                c -> {small} OR c.minus <= -0.25D
+            )), 1, {cap}),
+            c -> transform(array({right}[c.m]), b -> struct(
+                c.minus AS minus, a.i AS i, c.j AS j, {_CROSS_REFS} AS cross_refs, sims[n][c.m] AS cos, a AS a, b AS b
+            ))[0]
         )))
-
-    return F.flatten(F.transform(left, of))
+    """)
 
 
 def candidate_pairs(
@@ -201,10 +195,7 @@ def candidate_pairs(
     alone = (F.col("block") == 0) & (F.size("rows") < block)
     within = packed.withColumn("sims", V.block_similarity(F.col("flat"), F.col("flat"), F.col("dim"))).select(
         "document_id", alone.alias("alone"),
-        _best_partners(
-            F.col("rows"), F.col("rows"), F.col("sims"), (F.col("block") == 0) & (F.size("rows") <= 5),
-            True, threshold, per_clause,
-        ).alias("pairs"),
+        _best_partners("rows", "(block = 0 AND size(rows) <= 5)", True, threshold, per_clause).alias("pairs"),
     ).select("document_id", F.inline(F.when(
         F.col("alone"), F.slice(F.array_sort("pairs"), 1, per_document)
     ).otherwise(F.col("pairs"))))
@@ -215,9 +206,7 @@ def candidate_pairs(
     )
     across = packed.where(F.size("rows") == block).join(later, ["document_id", "block"]).withColumn(
         "sims", V.block_similarity(F.col("flat"), F.col("right_flat"), F.col("dim"))
-    ).select("document_id", F.inline(_best_partners(
-        F.col("rows"), F.col("right_rows"), F.col("sims"), F.lit(False), False, threshold, per_clause
-    )))
+    ).select("document_id", F.inline(_best_partners("right_rows", "false", False, threshold, per_clause)))
     # Partial rankings merge exactly: both cuts are row limits per group, taken before
     # and after the exchange, so no group travels or gathers whole.
     by_clause = Window.partitionBy("document_id", "i").orderBy("minus", "j")
