@@ -20,3 +20,14 @@ def stage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pactlens-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark) -> str:
+    """A new folder next to the checkpoints, for data that is written and read again."""
+    import uuid
+
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pactlens-"))
+    return f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIM = 64
+DECIMALS = 9  # equal texts must tie exactly, whatever the shape of a block product
 BLOCK = 256  # clauses of one document that are compared as one block
 
 
@@ -84,7 +85,8 @@ def max_similarity(vec: Column, seeds: np.ndarray, groups: list[int]) -> Column:
         if len(vecs) == 0:
             return pd.Series([], dtype=object)
         sims = np.stack(vecs.to_numpy()).astype(np.float64) @ matrix
-        return pd.Series(list(np.clip(np.maximum.reduceat(sims, starts, axis=1), 0.0, 1.0)))
+        best = np.clip(np.maximum.reduceat(sims, starts, axis=1), 0.0, 1.0)
+        return pd.Series(list(np.round(best, DECIMALS)))
 
     return score(vec)
 
@@ -97,7 +99,7 @@ def block_similarity(left: Column, right: Column, dim: Column) -> Column:
         out = []
         for x, y, n in zip(a, b, d):
             sims = np.asarray(x, dtype=np.float64).reshape(-1, n) @ np.asarray(y, dtype=np.float64).reshape(-1, n).T
-            out.append(list(sims))
+            out.append(list(np.round(sims, DECIMALS)))
         return pd.Series(out, dtype=object)
 
     return multiply(left, right, dim)

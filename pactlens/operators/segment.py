@@ -16,9 +16,17 @@ from pyspark.sql import functions as F
 from pactlens import rules
 from pactlens.functions import text as T
 
-_RUNNING = Window.partitionBy("document_id").orderBy("pos")
-_UP_TO_HERE = _RUNNING.rowsBetween(Window.unboundedPreceding, 0)
-_BEFORE = _RUNNING.rowsBetween(Window.unboundedPreceding, -1)
+def _running():
+    return Window.partitionBy("document_id").orderBy("pos")
+
+
+def _up_to_here():
+    return _running().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _before():
+    return _running().rowsBetween(Window.unboundedPreceding, -1)
+
 
 _MAJOR_KINDS = ["major", "longmajor", "lettered", "upper"]
 
@@ -52,8 +60,8 @@ def line_kinds(lines: DataFrame) -> DataFrame:
         line.rlike(T.java(rules.MAJOR_LINE)).alias("is_major"),
         line.rlike(T.java(rules.LETTERED_LINE)).alias("is_lettered"),
         line.rlike(T.java(rules.UPPERCASE_LINE)).alias("is_upper"),
-        (F.coalesce(F.lag("line").over(_RUNNING), F.lit("")) == "").alias("prev_blank"),
-        (F.coalesce(F.lead("line").over(_RUNNING), F.lit("")) == "").alias("next_blank"),
+        (F.coalesce(F.lag("line").over(_running()), F.lit("")) == "").alias("prev_blank"),
+        (F.coalesce(F.lead("line").over(_running()), F.lit("")) == "").alias("next_blank"),
     )
     rest = (
         F.when(F.col("is_paren"), T.strip(_group(rules.PAREN_LINE, 2)))
@@ -93,7 +101,7 @@ def line_kinds(lines: DataFrame) -> DataFrame:
 def mark_title_prefix(kinds: DataFrame) -> DataFrame:
     """``in_prefix`` for the title lines (and blanks) that open a document."""
     skippable = F.col("is_title") | (F.col("kind") == "blank")
-    return kinds.withColumn("in_prefix", F.min(skippable).over(_UP_TO_HERE))
+    return kinds.withColumn("in_prefix", F.min(skippable).over(_up_to_here()))
 
 
 def document_titles(documents: DataFrame) -> DataFrame:
@@ -113,12 +121,12 @@ def resolve_long_headings(marked: DataFrame) -> DataFrame:
         (F.col("kind") == "paren") & (F.col("rest") != "")
     ) | ((F.col("kind") == "sub") & (F.col("n_words") > rules.MAX_SUB_WORDS))
     rows = rows.withColumns({
-        "heading_before": F.coalesce(F.max(F.col("kind").isin(_MAJOR_KINDS)).over(_BEFORE), F.lit(False)),
-        "body_open": F.coalesce(F.lag(bearing).over(_RUNNING), F.lit(False)),
+        "heading_before": F.coalesce(F.max(F.col("kind").isin(_MAJOR_KINDS)).over(_before()), F.lit(False)),
+        "body_open": F.coalesce(F.lag(bearing).over(_running()), F.lit(False)),
     })
     eligible = (F.col("kind") == "long") & ~F.col("heading_before") & ~F.col("body_open")
     rows = rows.withColumn("eligible", eligible)
-    rows = rows.withColumn("eligible_before", F.coalesce(F.max("eligible").over(_BEFORE), F.lit(False)))
+    rows = rows.withColumn("eligible_before", F.coalesce(F.max("eligible").over(_before()), F.lit(False)))
     resolved = (
         F.when(F.col("eligible") & ~F.col("eligible_before"), "longmajor")
         .when((F.col("kind") == "long") & F.col("as_upper"), "upper")
@@ -164,13 +172,13 @@ def carry_headings(resolved: DataFrame) -> DataFrame:
             F.when(bearing | is_major | (kind == "sub"), text(null))
             .when(kind == "paren", text(mark))
         ),
-        "starts": bearing & ((kind != "body") | ~F.coalesce(F.lag(bearing).over(_RUNNING), F.lit(False))),
+        "starts": bearing & ((kind != "body") | ~F.coalesce(F.lag(bearing).over(_running()), F.lit(False))),
     })
     rows = rows.withColumns({
-        "block": F.sum(F.col("starts").cast("int")).over(_UP_TO_HERE),
-        "major": F.last("major_here", ignorenulls=True).over(_UP_TO_HERE),
-        "sub": F.last("sub_event", ignorenulls=True).over(_UP_TO_HERE)["v"],
-        "open_paren": F.last("paren_event", ignorenulls=True).over(_BEFORE)["v"],
+        "block": F.sum(F.col("starts").cast("int")).over(_up_to_here()),
+        "major": F.last("major_here", ignorenulls=True).over(_up_to_here()),
+        "sub": F.last("sub_event", ignorenulls=True).over(_up_to_here())["v"],
+        "open_paren": F.last("paren_event", ignorenulls=True).over(_before())["v"],
     })
     paren = F.when(kind == "paren", mark).when(kind == "body", F.col("open_paren"))
     return rows.select(
