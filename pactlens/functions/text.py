@@ -137,3 +137,11 @@ def without_punctuation(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit("")) == ""
+
+
+def shown(value: Column, digits: int) -> Column:
+    """A score as it is shown: half-even on the exact binary value, unlike ``round``.
+
+    For values below 1000, which the number format writes without separators.
+    """
+    return F.format_number(value, digits).cast("double")

@@ -49,7 +49,7 @@ def question_payloads(questions: DataFrame, evidence: DataFrame) -> DataFrame:
         "rank", "clause_id", F.coalesce("section_title", F.lit(rules.GENERAL)).alias("section_title"), "text",
         F.coalesce("primary_category", F.lit(rules.GENERAL)).alias("category"),
         F.coalesce("attention_level", F.lit(rules.INFORMATIONAL)).alias("attention_level"),
-        F.col("location").alias("source_location"), F.round("similarity_score", 3).alias("similarity_score"),
+        F.col("location").alias("source_location"), T.shown(F.col("similarity_score"), 3).alias("similarity_score"),
     ).alias("evidence"))
     return questions.join(listed, "query_id").select(
         "query_id", F.to_json(F.struct(F.col("query").alias("question"), "evidence")).alias("payload")
@@ -154,7 +154,7 @@ def extractive_quote(text: Column, fallback: int = 50) -> Column:
 
 # -- validation -----------------------------------------------------------------------
 
-_QUOTE_EDGE = " .…'\""
+_QUOTE_EDGE = " .\u2026'\""
 
 
 def quote_state(quote: Column, source: Column) -> Column:

@@ -106,7 +106,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, clauses: DataFrame) -> Dat
         | F.arrays_overlap("categories", "secondary_categories")
     )
     boost = lexical_boost(F.col("section_title"), F.col("text"), F.col("tokens"), F.col("synonyms"))
-    rows = rows.withColumn("similarity_score", F.round(F.least(F.lit(1.0), F.col("base_score") + boost), 4))
+    rows = rows.withColumn("similarity_score", T.shown(F.least(F.lit(1.0), F.col("base_score") + boost), 4))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity_score"), "candidate_rank")
     return (
         rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_k"))

@@ -151,7 +151,7 @@ def _noisy(text: Column) -> Column:
     typographic = F.replace(F.replace(F.replace(
         text, F.lit("'"), F.lit("\u2019")), F.lit(" - "), F.lit(" \u2014 ")),
         F.lit("termination"), F.lit("termi-\nnation"))
-    spaced = F.replace(F.replace(text, F.lit(" the "), F.lit("  the\t")), F.lit(" your "), F.lit(" your\u00a0\u200b"))
+    spaced = F.replace(F.replace(text, F.lit(" the "), F.lit("  the\t")), F.lit(" your "), F.lit("\u00a0your \u200b"))
     return (
         F.when(noise == 1, spaced).when(noise == 2, typographic)
         .when(noise == 3, F.replace(text, F.lit("\n"), F.lit(" \r\n"))).otherwise(text)

@@ -335,7 +335,7 @@ def scored(source: str, vec: str) -> str:
 def picked(source: str) -> str:
     return f"""
     SELECT clause_id, CASE WHEN top >= 0.32 THEN best ELSE 'General' END AS primary_category,
-           CASE WHEN top >= 0.32 THEN array_to_string(coalesce(others, []), ', ') ELSE '' END AS secondary_categories, round(top, 2) AS category_confidence
+           CASE WHEN top >= 0.32 THEN array_to_string(coalesce(others, []), ', ') ELSE '' END AS secondary_categories, printf('%.2f', top)::DOUBLE AS category_confidence
     FROM (SELECT clause_id, max(score) FILTER (WHERE n = 1) AS top, max(category) FILTER (WHERE n = 1) AS best,
                  list(category ORDER BY n) FILTER (WHERE n > 1 AND score >= 0.28::DOUBLE AND best_score - score <= 0.18::DOUBLE) AS others
           FROM (SELECT *, row_number() OVER (PARTITION BY clause_id ORDER BY score DESC, pos) AS n, max(score) OVER (PARTITION BY clause_id) AS best_score FROM {source})
@@ -355,7 +355,7 @@ PARTS["synonyms"] = "SELECT * FROM (" + _values(
     (k, s) for k, v in rules.SYNONYMS.items() for s in v
 ) + ") AS t(head, synonym)"
 PARTS["query_words"] = f"""
-    SELECT query_id, list_filter(regexp_extract_all(lower(query), '\\b[a-zA-Z]{{2,}}\\b'), lambda t: NOT list_contains({_list(rules.STOP_WORDS)}, t)) AS tokens
+    SELECT query_id, list_filter(regexp_extract_all(lower(query), '[\\pL\\pM\\pN_]+'), lambda t: regexp_full_match(t, '[a-z]{{2,}}') AND NOT list_contains({_list(rules.STOP_WORDS)}, t)) AS tokens
     FROM questions"""
 PARTS["query_synonyms"] = """
     SELECT q.query_id, any_value(q.tokens) AS tokens, coalesce(list(DISTINCT s.synonym) FILTER (WHERE s.synonym IS NOT NULL AND NOT list_contains(q.tokens, s.synonym)), []) AS synonyms
@@ -383,7 +383,7 @@ PARTS["boosted"] = f"""
 PARTS["hits"] = """
     SELECT *, similarity_score >= 0.35 AS meets_threshold
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, candidate_rank)::INT AS rank
-          FROM (SELECT *, round(least(1, base_score + boost), 4) AS similarity_score FROM boosted)) WHERE rank <= 5"""
+          FROM (SELECT *, printf('%.4f', least(1, base_score + boost))::DOUBLE AS similarity_score FROM boosted)) WHERE rank <= 5"""
 PARTS["relevant"] = "SELECT q.query_id, c.clause_id FROM questions q JOIN clauses c ON c.document_id = q.document_id AND c.expected_category = q.category"
 PARTS["query_results"] = """
     SELECT q.query_id, q.document_id, coalesce(bool_or(h.meets_threshold), false) AS sufficient_evidence, count(h.clause_id) AS total_matches

@@ -95,7 +95,6 @@ def _relevant(spark, d) -> DataFrame:
     SELECT document_id, title AS filename, 1 AS page_number, 0 AS char_start, length(raw_text)::INT AS char_end, md5(raw_text) AS raw_md5 FROM raw_docs""")
 def _(spark, d):
     docs = _documents(spark, d)
-    rows = docs.select("document_id", "filename", F.explode(F.array(F.struct("raw_text"))).alias("r"))
     one = sources.single_pages(docs)
     return docs.select("document_id", "filename").join(one, "document_id").select(
         "document_id", "filename", "page_number", "char_start", "char_end", F.md5("text").alias("raw_md5"))
@@ -324,7 +323,7 @@ def _(spark, d):
     return _encoded(spark, d).select("clause_id", _print(F.col("vec")).alias("fingerprint"))
 
 
-@register("k4_cosine", f"SELECT a.vec_id, round({oracles.dot('a.embedding', 'b.embedding')}, 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@register("k4_cosine", f"SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def _(spark, d):
     e = corpus.table(spark, d, "embeddings")
     following = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
@@ -388,7 +387,8 @@ def _(spark, d):
 
 @register("r1_index", """
     SELECT vec_id, round(sqrt(list_sum(list_transform(vec, lambda x: x::DOUBLE * x))), 5) AS norm, round(list_sum(list_transform(vec, lambda x, i: x::DOUBLE * i)), 4) AS fingerprint
-    FROM (SELECT vec_id, list_transform(embedding, lambda x: (x / n)::FLOAT) AS vec FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS n FROM embeddings))""")
+    FROM (SELECT vec_id, list_transform(embedding, lambda x: (x / n)::FLOAT) AS vec FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS n
+          FROM (SELECT vec_id, list_transform(embedding, lambda x: (x * (vec_id % 5 + 1))::FLOAT) AS embedding FROM embeddings)))""")
 def _(spark, d):
     rows = corpus.table(spark, d, "embeddings").select(
         "vec_id", V.normalize(F.transform("embedding", lambda x: (x * (F.col("vec_id") % 5 + 1)).cast("float"))).alias("vec"))
@@ -418,7 +418,7 @@ def _(spark, d):
 @register("r5_category_filter", """
     SELECT query_id, clause_id, similarity_score, n::INT AS rank
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, candidate_rank) AS n
-          FROM (SELECT b.*, round(least(1, base_score + boost), 4) AS similarity_score FROM boosted b JOIN questions q USING (query_id)
+          FROM (SELECT b.*, printf('%.4f', least(1, base_score + boost))::DOUBLE AS similarity_score FROM boosted b JOIN questions q USING (query_id)
                 WHERE b.primary_category = q.category OR list_contains(b.secondary_categories, q.category))) WHERE n <= 5""")
 def _(spark, d):
     queries = _questions(spark, d).withColumn("categories", F.array("category"))
@@ -540,7 +540,7 @@ def _(spark, d):
 
 @register("x16_block_merge", "SELECT document_id, i, j, round(score, 6) AS score, candidate_rank FROM pairs")
 def _(spark, d):
-    # Blocks of four clauses: nearly every document is ranked across several blocks.
+    # Blocks of six clauses: nearly every document is ranked across several blocks.
     pairs = relate.candidate_pairs(_features(spark, d), block=6)
     return pairs.select("document_id", "i", "j", F.round("score", 6).alias("score"), "candidate_rank")
 
@@ -634,17 +634,12 @@ def _(spark, d):
     return ground.evidence_rows(_hits(spark, d)).select("query_id", "rank", "clause_id", "similarity_score")
 
 
-def _fields(payload, path: str, fields: list[str], schema: str) -> list:
-    """Rows of a list inside a JSON payload, for comparison by value."""
-    return payload
-
-
 _EVIDENCE = "struct<question:string,evidence:array<struct<clause_id:string,section_title:string,text:string,category:string,attention_level:string,source_location:string,similarity_score:double>>>"
 
 
 @register("q4_question_payload", """
     SELECT h.query_id, md5(q.query) AS question_md5, h.rank - 1 AS pos, h.clause_id, h.section_title, md5(h.text) AS text_md5, h.primary_category AS category, h.attention_level, h.location AS source_location,
-           round(h.similarity_score, 3) AS similarity_score FROM hits h JOIN questions q USING (query_id) WHERE h.meets_threshold""")
+           printf('%.3f', h.similarity_score)::DOUBLE AS similarity_score FROM hits h JOIN questions q USING (query_id) WHERE h.meets_threshold""")
 def _(spark, d):
     rows = ground.question_payloads(corpus.questions(spark, d), ground.evidence_rows(_hits(spark, d)))
     rows = rows.select("query_id", F.from_json("payload", _EVIDENCE).alias("p"))
