@@ -22,9 +22,35 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iUd)" if ignore_case else "(?Ud)") + pattern
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Case-insensitive search of a rule pattern."""
-    return text.rlike(java(pattern, True))
+# Characters beyond ASCII that match an ASCII letter when case is ignored.
+_FOLDING_FROM, _FOLDING_TO = "\u0130\u0131\u017f\u212a", "iisk"
+
+
+def folded(text: Column) -> Column:
+    """The lower-case text in which anchors are looked for; best kept as a column."""
+    odd = text.contains(_FOLDING_FROM[0])
+    for c in _FOLDING_FROM[1:]:
+        odd = odd | text.contains(c)
+    return F.lower(F.when(odd, F.translate(text, _FOLDING_FROM, _FOLDING_TO)).otherwise(text))
+
+
+def may_match(lower: Column, pattern: str) -> Column | None:
+    """Whether the folded text holds an anchor of the pattern, None if it has no anchors."""
+    hit = None
+    for anchor in rules.ANCHORS.get(pattern, []):
+        hit = lower.contains(anchor) if hit is None else hit | lower.contains(anchor)
+    return hit
+
+
+def matches(text: Column, pattern: str, lower: Column | None = None) -> Column:
+    """Case-insensitive search of a rule pattern.
+
+    With the folded text at hand, the pattern is tried only where one of its anchors
+    occurs, which is rare: most texts cost a few substring tests and no search.
+    """
+    found = text.rlike(java(pattern, True))
+    anchored = may_match(lower, pattern) if lower is not None else None
+    return found if anchored is None else anchored & found
 
 
 def first_match(text: Column, pattern: str) -> Column:

@@ -9,19 +9,19 @@ from pactlens import rules
 from pactlens.functions import text as T
 
 
-def _reasons(text: Column, indicators) -> Column:
-    hits = F.array(*[F.when(T.matches(text, p), F.lit(reason)) for p, reason in indicators])
+def _reasons(text: Column, indicators, lower: Column | None) -> Column:
+    hits = F.array(*[F.when(T.matches(text, p, lower), F.lit(reason)) for p, reason in indicators])
     return F.filter(hits, lambda r: r.isNotNull())
 
 
-def strong_reasons(text: Column) -> Column:
+def strong_reasons(text: Column, lower: Column | None = None) -> Column:
     """Reasons of the strong indicators that match, in rule order."""
-    return _reasons(text, rules.STRONG_INDICATORS)
+    return _reasons(text, rules.STRONG_INDICATORS, lower)
 
 
-def weak_reasons(text: Column) -> Column:
+def weak_reasons(text: Column, lower: Column | None = None) -> Column:
     """Reasons of the weak indicators that match, in rule order."""
-    return _reasons(text, rules.WEAK_INDICATORS)
+    return _reasons(text, rules.WEAK_INDICATORS, lower)
 
 
 def level(n_strong: Column, n_weak: Column, high: int = rules.HIGH_MIN_STRONG, medium: int = rules.MEDIUM_MIN_STRONG) -> Column:
@@ -35,12 +35,13 @@ def level(n_strong: Column, n_weak: Column, high: int = rules.HIGH_MIN_STRONG, m
 def assign_levels(clauses: DataFrame, high: int = rules.HIGH_MIN_STRONG, medium: int = rules.MEDIUM_MIN_STRONG) -> DataFrame:
     """T4: adds ``attention_level`` and ``attention_reasons``."""
     no_text = F.array().cast("array<string>")
-    rows = clauses.withColumn("_strong", strong_reasons(F.col("text")))
-    rows = rows.withColumn("_weak", F.when(F.size("_strong") == 0, weak_reasons(F.col("text"))).otherwise(no_text))
+    text, lower = F.col("text"), F.col("_lower")
+    rows = clauses.withColumn("_lower", T.folded(text)).withColumn("_strong", strong_reasons(text, lower))
+    rows = rows.withColumn("_weak", F.when(F.size("_strong") == 0, weak_reasons(text, lower)).otherwise(no_text))
     named = level(F.size("_strong"), F.size("_weak"), high, medium)
     reasons = (
         F.when(named.isin(rules.HIGH, rules.MEDIUM), F.col("_strong"))
         .when(named == rules.LOW, F.col("_weak"))
         .otherwise(F.array(F.lit(rules.NO_INDICATOR_REASON)))
     )
-    return rows.withColumns({"attention_level": named, "attention_reasons": reasons}).drop("_strong", "_weak")
+    return rows.withColumns({"attention_level": named, "attention_reasons": reasons}).drop("_lower", "_strong", "_weak")

@@ -51,14 +51,17 @@ def section_number(title: Column) -> Column:
     return F.when(number != "", number)
 
 
-def section_references(text: Column) -> Column:
+def section_references(text: Column, lower: Column | None = None) -> Column:
     """The numbers of all sections that a text refers to, repeats included."""
-    return F.regexp_extract_all(text, F.lit(T.java(rules.SECTION_REFERENCE, True)), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(T.java(rules.SECTION_REFERENCE, True)), F.lit(1))
+    if lower is None:
+        return found
+    return F.when(T.may_match(lower, rules.SECTION_REFERENCE), found).otherwise(F.array().cast("array<string>"))
 
 
-def keyword_mask(text: Column) -> Column:
-    """Bit ``n`` is set if the ``n``-th domain keyword occurs in the text."""
-    lower, mask = F.lower(text), F.lit(0).cast("long")
+def keyword_mask(lower: Column) -> Column:
+    """Bit ``n`` is set if the ``n``-th domain keyword occurs in the lower-case text."""
+    mask = F.lit(0).cast("long")
     for n, word in enumerate(rules.DOMAIN_KEYWORDS):
         mask = mask + F.when(lower.contains(word), F.lit(1 << n).cast("long")).otherwise(F.lit(0).cast("long"))
     return mask
@@ -74,19 +77,20 @@ def keywords_of(mask: Column) -> Column:
 
 def clause_features(clauses: DataFrame) -> DataFrame:
     """Everything the pair rules ask about a clause, evaluated once per clause."""
-    flags = F.lit(0)
+    text, flags = F.col("text"), F.lit(0)
     for name, pattern in _FLAG_PATTERNS.items():
-        flags = flags + F.when(T.matches(F.col("text"), pattern), _BIT[name]).otherwise(0)
+        flags = flags + F.when(T.matches(text, pattern, F.col("_folded")), _BIT[name]).otherwise(0)
     category = F.coalesce("primary_category", F.lit(rules.GENERAL))
     number = F.array_position(F.array(*[F.lit(n) for n in _NAMES]), category).cast("int") - 1
     friends = F.array(*[
         F.lit(sum(1 << j for j, b in enumerate(_NAMES) if _affine(a, b))) for a in _NAMES
     ])
-    return clauses.withColumns({
-        "flags": flags, "kw": keyword_mask(F.col("text")), "refs": section_references(F.col("text")),
+    rows = clauses.withColumns({"_folded": T.folded(text), "_lower": F.lower(text)})
+    return rows.withColumns({
+        "flags": flags, "kw": keyword_mask(F.col("_lower")), "refs": section_references(text, F.col("_folded")),
         "sec": section_number(F.coalesce("section_title", F.lit(""))), "cat": number,
         "friends": F.coalesce(F.get(friends, number), F.lit(0)),
-    })
+    }).drop("_folded", "_lower")
 
 
 def section_owners(features: DataFrame) -> DataFrame:

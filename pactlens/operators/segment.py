@@ -89,6 +89,7 @@ def line_kinds(lines: DataFrame) -> DataFrame:
     )
     is_title = (
         ~F.col("is_major")
+        & T.may_match(T.folded(line), rules.DOCUMENT_TITLE)
         & (T.words(line) <= rules.MAX_TITLE_WORDS)
         & T.matches(line, rules.DOCUMENT_TITLE)
     )

@@ -489,8 +489,8 @@ def _(spark, d):
 
 @register("x4_domain_keywords", "SELECT clause_id, array_to_string(kws, ',') AS keywords FROM features")
 def _(spark, d):
-    mask = relate.keyword_mask(F.col("text"))
-    return _clauses(spark, d).select("clause_id", F.array_join(relate.keywords_of(mask), ",").alias("keywords"))
+    rows = _clauses(spark, d).withColumn("lower", F.lower("text")).withColumn("kw", relate.keyword_mask(F.col("lower")))
+    return rows.select("clause_id", F.array_join(relate.keywords_of(F.col("kw")), ",").alias("keywords"))
 
 
 @register("x5_pair_scores", "SELECT document_id, i, j, round(score, 6) AS score FROM clause_cut")
@@ -758,7 +758,7 @@ oracles.PARTS["cited"] = f"""
            CASE v WHEN 3 THEN 'Page 999' WHEN 6 THEN '' ELSE upper(location) END AS source_location,
            CASE v WHEN 1 THEN 'we promise ' || left(text, 30) WHEN 5 THEN ' ... ' ELSE '"' || upper({_QUOTE}) || '..."' END AS quoted_text
     FROM (SELECT h.*, (conv_id + turn) % 8 AS v FROM hits h JOIN questions q USING (query_id) WHERE h.meets_threshold AND h.rank <= 2)"""
-_Q, _S = f"trim({oracles.matching('quoted_text')}, ' .…''\"')", oracles.matching("true_text")
+_Q, _S = f"trim({oracles.matching('quoted_text')}, ' .' || chr(8230) || '''\"')", oracles.matching("true_text")
 _BARE = r"regexp_replace({}, '[^\pL\pM\pN\pPc\s_]', '', 'g')"
 oracles.PARTS["judged"] = f"""
     SELECT *, CASE WHEN v = 2 THEN 'unknown' WHEN {_Q} = '' THEN 'empty' WHEN contains({_S}, {_Q}) OR ({_BARE.format(_Q)} <> '' AND contains({_BARE.format(_S)}, {_BARE.format(_Q)})) THEN 'found' ELSE 'missing' END AS state

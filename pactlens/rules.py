@@ -397,3 +397,64 @@ EXPOSURE_DOMAINS = [
     ("content", "User Content", ["license", "royalty-free", "perpetual", "sublicense", "derivative works"]),
     ("liability", "Liability", ["limitation of liability", "damages", "as is", "consequential"]),
 ]
+
+# Words one of which every match of a pattern holds ------------------
+# They let a cheap substring test rule a pattern out.  A pattern without an entry is
+# always tried.
+ANCHORS = {
+    pattern: anchors for pattern, anchors in [
+        *zip([p for p, _ in STRONG_INDICATORS], [
+            ["renew", "recurring"], ["refund", "final"], ["prior", "window"], ["pric", "fees"], ["notice"],
+            ["account"], ["liability", "whatsoever", "discretion"], ["permanently", "forfeit", "destroy"],
+            ["arbitrat"], ["action", "collective"], ["jurisdiction", "venue", "courts"],
+            ["liability", "limited", "exceed"], ["damages"], ["indemnify"],
+            ["perpetual", "irrevocable", "royalty-free"], ["sublicensable", "transferable", "right"],
+            ["share", "disclose"], ["retain"], ["cross-site", "behavioral", "profile"], ["notice"], ["acceptance"],
+        ]),
+        (WEAK_INDICATORS[1][0], ["updated", "review"]),
+        (WEAK_INDICATORS[2][0], ["cookies"]),
+        *zip(CATEGORY_PATTERNS["Privacy & Data"], [
+            ["personal", "privacy", "cookies", "track"], ["third-part", "retention", "collect"],
+            ["usage", "telemetry", "geolocation", "biometric", "subject"],
+        ]),
+        *zip(CATEGORY_PATTERNS["Payment"], [
+            ["subscri", "bill", "fee", "auto-renew"], ["renew", "refund", "charg"],
+            ["payment", "credit", "invoice", "pric"],
+        ]),
+        *zip(CATEGORY_PATTERNS["Account"], [
+            ["account", "password", "login", "credentials"], ["account", "suspension"], ["unauthorized", "account"],
+        ]),
+        *zip(CATEGORY_PATTERNS["Dispute"], [
+            ["arbitrat", "class", "dispute"], ["governing", "jurisdiction", "venue", "court", "litigat"],
+            ["jury", "claim", "binding"],
+        ]),
+        *zip(CATEGORY_PATTERNS["Liability"][:2], [["liability", "indemnif", "harmless"], ["disclaim", "damages"]]),
+        *zip(CATEGORY_PATTERNS["User Content"], [
+            ["content", "submission"], ["perpetual", "irrevocable", "royalty-free", "license"],
+            ["license", "intellectual", "copyright"],
+        ]),
+        *zip(CATEGORY_PATTERNS["Changes"], [
+            ["terms", "unilateral"], ["notice"], ["acceptance", "amend", "modify"],
+        ]),
+        (CANCEL_ANYTIME, ["any time"]),
+        (STRICT_RENEWAL, ["automatically renew", "billed in advance", "days prior", "non-refundable"]),
+        (MODIFY_NO_NOTICE, ["notice"]),
+        (NOTIFY_CHANGES, ["notify", "notice"]),
+        (IMMEDIATE_TERMINATION, ["notice"]),
+        (CURE_PERIOD, ["notice", "cure"]),
+        (NON_REFUNDABLE, ["refund", "final"]),
+        (REFUND_ELIGIBLE, ["refund", "money-back"]),
+        (OVERRIDES, ["conflict", "inconsistency", "shall", "supersedes", "prevails"]),
+        (EXCEPTS, ["except", "save for", "unless otherwise", "other than as provided"]),
+        (DEPENDS_ON, [
+            "subject to", "upon", "contingent", "only if", "depending on", "described in", "set forth in",
+            "specified in", "in accordance with", "pursuant to",
+        ]),
+        (QUALIFIES, ["permitted by", "without limiting", "provided", "applicable law", "solely", "limited to"]),
+        (TEMPORAL, [
+            "days prior", "prior to", "terminate", "upon", "closure", "retain", "period", "recurring", "billing cycle",
+        ]),
+        (SECTION_REFERENCE, ["section", "article", "clause", "paragraph"]),
+        (DOCUMENT_TITLE, ["terms", "agreement"]),
+    ]
+}
