@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIM = 64
 DECIMALS = 9  # equal texts must tie exactly, whatever the shape of a block product
+SLICE = 64  # rows of block products that are handed back at once
 BLOCK = 256  # clauses of one document that are compared as one block
 
 
@@ -92,15 +94,21 @@ def max_similarity(vec: Column, seeds: np.ndarray, groups: list[int]) -> Column:
 
 
 def block_similarity(left: Column, right: Column, dim: Column) -> Column:
-    """Dot products of every row of one flattened block with every row of another."""
+    """Dot products of every row of one flattened block with every row of another.
+
+    A row yields at most ``BLOCK`` x ``BLOCK`` numbers.  The results are handed back a
+    few rows at a time, so a batch of full blocks never stands in memory as a whole.
+    """
 
     @F.pandas_udf("array<array<double>>")
-    def multiply(a: pd.Series, b: pd.Series, d: pd.Series) -> pd.Series:
-        out = []
-        for x, y, n in zip(a, b, d):
-            sims = np.asarray(x, dtype=np.float64).reshape(-1, n) @ np.asarray(y, dtype=np.float64).reshape(-1, n).T
-            out.append(list(np.round(sims, DECIMALS)))
-        return pd.Series(out, dtype=object)
+    def multiply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b, d in batches:
+            for start in range(0, len(a), SLICE):
+                out = []
+                for x, y, n in zip(a[start:start + SLICE], b[start:start + SLICE], d[start:start + SLICE]):
+                    x, y = (np.asarray(v, dtype=np.float64).reshape(-1, n) for v in (x, y))
+                    out.append(list(np.round(x @ y.T, DECIMALS)))
+                yield pd.Series(out, dtype=object)
 
     return multiply(left, right, dim)
 
