@@ -7,7 +7,7 @@ them stays in one projection and needs no shuffle.  Java patterns carry the flag
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlens import rules
@@ -171,3 +171,14 @@ def shown(value: Column, digits: int) -> Column:
     For values below 1000, which the number format writes without separators.
     """
     return F.format_number(value, digits).cast("double")
+
+
+def settle(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds costly columns so that later filters read them.
+
+    A filter on a projected column is pushed below the projection with a copy of the
+    expression for every mention.  Columns that a generator makes are not pushed.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.inline(F.array(made)))

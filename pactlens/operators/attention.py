@@ -44,4 +44,4 @@ def assign_levels(clauses: DataFrame, high: int = rules.HIGH_MIN_STRONG, medium:
         .when(named == rules.LOW, F.col("_weak"))
         .otherwise(F.array(F.lit(rules.NO_INDICATOR_REASON)))
     )
-    return rows.withColumns({"attention_level": named, "attention_reasons": reasons}).drop("_lower", "_strong", "_weak")
+    return T.settle(rows, {"attention_level": named, "attention_reasons": reasons}).drop("_lower", "_strong", "_weak")
