@@ -10,8 +10,10 @@ d, and the sets themselves decide.
 
 Equal sets are merged before all this.  Within the bucket of a key no pairs are listed:
 
-1. every member is verified against two hubs of the bucket; these links give components;
-2. only members of different components of a bucket are compared with each other, so a
+1. in a few turns, every set that meets another component in a bucket tries one pair: with
+   the hub (one member of each bucket) that it shares most keys with.  That is at most one
+   verification per set and turn, and components grow fast;
+2. then members of different components of a bucket are compared with each other, so a
    large group of near copies, one component by then, costs nothing more.
 
 No bucket, band or partner is capped.  The number of comparisons in step 2 is bounded by the
@@ -46,7 +48,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_BYTES = 2 << 20
 GROWTH = 1.25
-HUBS = 2
+TURNS = 4
+BROADCAST_IDS = 3_000_000
 SIGNATURE = "n bigint, h bigint, keys array<bigint>, sketch array<bigint>"
 
 
@@ -250,25 +253,39 @@ def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "d
     buckets = reps.select("h", F.explode("keys").alias("key"))
     # Buckets of one member are most of the table and end here.
     in_bucket = "partition by key"
-    hub = f"min_by(h, xxhash64(h, pmod(key, {HUBS}))) over ({in_bucket})"
-    shared = stage(buckets.selectExpr("key", "h", f"count(*) over ({in_bucket}) as members", f"{hub} as hub").where("members > 1").drop("members"))
+    shared = stage(buckets.selectExpr("key", "h", f"count(*) over ({in_bucket}) as members").where("members > 1").drop("members"))
     traits = stage(reps.select("h", "i", "n", "sketch").join(shared.select("h").distinct(), "h", "left_semi"))
     mine = traits.select(F.col("i").alias("known")).distinct()
+    if traits.count() <= BROADCAST_IDS:
+        mine = F.broadcast(mine)  # checked: one number a row; beyond that both sides are shuffled
     sets = stage(_sets(rows.join(mine, F.col("i").eqNullSafe(F.col("known")), "left_semi"), width).dropDuplicates(["h"]).join(traits.select("h"), "h", "left_semi"))
     of = [traits.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab"]
     possible = _possible(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), num, den)
-
-    starred = shared.where("h <> hub").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct()
-    tried = stage(starred.join(of[0], "a").join(of[1], "b").where(possible).select("a", "b"))
-    links = stage(_verified(tried, sets, num, den))
-    labels, path = components(links)
-    spent.append(path)
+    placed, tried, links = shared.withColumn("label", F.col("h")), None, None
+    for turn in range(TURNS):
+        # Every set with another component in a bucket tries the hub that it shares most keys with.
+        facing = placed.selectExpr(
+            "h", "label", f"min_by(struct(h, label), xxhash64(h, {turn})) over ({in_bucket}) as hub"
+        ).where("label <> hub.label").select("h", F.least("h", "hub.h").alias("a"), F.greatest("h", "hub.h").alias("b"))
+        pairs = facing.groupBy("h", "a", "b").agg(F.count(F.lit(1)).alias("keys"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        allowed = pairs.join(of[0], "a").join(of[1], "b").where(possible)
+        best = allowed.groupBy("h").agg(F.max(F.struct("keys", "a", "b")).alias("p"))
+        now = stage(best.select("p.a", "p.b").distinct())
+        found = stage(_verified(now, sets, num, den))
+        tried, links = (now, found) if tried is None else (tried.unionByName(now), links.unionByName(found))
+        labels, path = components(links)
+        spent.append(path)
+        placed = shared.join(labels.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("label", "h").alias("label"))
     # What is left: members of one bucket in different components.
-    placed = shared.select("key", "h").join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
-    mixed = placed.selectExpr("key", "h", "label", f"min(label) over ({in_bucket}) <> max(label) over ({in_bucket}) as open").where("open").drop("open")
-    mixed = stage(mixed.join(traits.select("h", "n", "sketch"), "h"))
-    sides = [mixed.select("key", F.col("h").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab"]
-    across = sides[0].join(sides[1], (sides[0]["key"] == sides[1]["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & possible)
+    open_buckets = placed.selectExpr("key", "h", "label", f"min(label) over ({in_bucket}) <> max(label) over ({in_bucket}) as open").where("open").drop("open")
+    # A pair with several buckets in common counts in the one of the smallest key.
+    own_keys = open_buckets.groupBy("h").agg(F.collect_set("key").alias("keys"))
+    mixed = stage(open_buckets.join(own_keys, "h").join(traits.select("h", "n", "sketch"), "h"))
+    sides = [mixed.select("key", F.col("h").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"), F.col("keys").alias(f"keys{x}")) for x in "ab"]
+    first_in_common = sides[0]["key"] == F.array_min(F.array_intersect("keysa", "keysb"))
+    across = sides[0].join(sides[1], (sides[0]["key"] == sides[1]["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & possible & first_in_common)
     rest = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = stage(_verified(rest, sets, num, den))
     labels, path = components(links.unionByName(more))
