@@ -92,7 +92,7 @@ def read_token_shards(spark: SparkSession, path: str, *, with_ids: bool = False)
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    placed = shards.join(firsts, "part").select(
+    placed = shards.join(F.broadcast(firsts), "part").select(  # two numbers per written part
         (F.col("first") + F.col("part_start")).alias("start"), "doc_ids", "doc_tokens", "payload"
     )
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
