@@ -20,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlens.llm.common import NOT_SPACE, fresh
+from pactlens.llm.common import NOT_SPACE, fresh, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP, SEED = 1.5, 2.0, "mix"
+BROADCAST_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -68,7 +69,9 @@ def source_rates(
 def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **how) -> DataFrame:
     """``docs`` with a struct column ``mix``: size, source_size, target, rate, copies."""
     mix = fresh(docs, "mix")
-    rates = source_rates(docs, source_col=source_col, text_col=text_col, **how).select(F.struct("*").alias(mix))
+    rates, _ = written(source_rates(docs, source_col=source_col, text_col=text_col, **how).select(F.struct("*").alias(mix)))
+    if rates.count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)  # checked; with more sources the join shuffles and splits hot ones
     joined = docs.join(rates, F.col(source_col).eqNullSafe(F.col(f"{mix}.mix_source")), "left")
     rate = F.col(f"{mix}.rate")
     taken = F.floor(rate) + (coin(F.col(id_col), F.col(text_col), seed) < rate - F.floor(rate)).cast("bigint")
