@@ -127,26 +127,40 @@ class PatriciaTrie:
         file = tempfile.TemporaryFile()
         for entry in self.walk(heaviest, prefix):
             pickle.dump(entry, file)
+        # Subtrees of it that were spilled before go along, so that a string has one file.
+        stack = [heaviest]
+        while stack:
+            inner = stack.pop()
+            stack += inner[1].values()
+            if inner[3] is not None:
+                self.spills.remove(inner[3])
+                for entry in self.read(inner[3]):
+                    pickle.dump(entry, file)
         heaviest[1], heaviest[2], heaviest[3] = {}, None, file
         self.held -= heavy
         self.spills.append(file)
         return True
 
+    @staticmethod
+    def read(file) -> Iterator[tuple]:
+        file.seek(0)
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                file.close()
+                return
+
     def entries(self) -> Iterator[tuple[bytes, int | None, int, object]]:
         """All strings with their terminals: those in memory, then each spilled subtree."""
         yield from self.walk(self.root, b"")
         spills, self.root = self.spills, [b"", {}, None, None]
         for file in spills:
-            file.seek(0)
             trie = PatriciaTrie(self.budget)
-            while True:
-                try:
-                    trie.insert(*pickle.load(file))
-                except EOFError:
-                    break
+            for entry in self.read(file):
+                trie.insert(*entry)
                 if trie.full() and not trie.spill():
                     trie.budget *= 2
-            file.close()
             yield from trie.entries()
 
 

@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlens.llm.common import forget, fresh, written
@@ -48,7 +48,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_BYTES = 2 << 20
 GROWTH = 1.25
-TURNS = 4
+TURNS, FIRST_KEYS = 4, 16
 BROADCAST_IDS = 3_000_000
 SIGNATURE = "n bigint, h bigint, keys array<bigint>, sketch array<bigint>"
 
@@ -248,17 +248,22 @@ def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "d
         return df
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
-    signed = stage(rows.withColumn("s", signature(F.col("t"), width, num, den)).select("i", "s.*"))
-    reps = stage(signed.where("h is not null").groupBy("h").agg(F.min("i").alias("i"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
-    buckets = reps.select("h", F.explode("keys").alias("key"))
+    wide, wide_path = written(rows.withColumn("s", signature(F.col("t"), width, num, den)).select("i", "s.*"))
+    signed = stage(wide.select("i", "n", "h"))
+    known = wide.where("h is not null")
+    # Equal sets are merged in part before they travel.
+    buckets = known.groupBy("h").agg(F.first("keys").alias("keys")).select("h", F.explode("keys").alias("key"))
     # Buckets of one member are most of the table and end here.
     in_bucket = "partition by key"
     shared = stage(buckets.selectExpr("key", "h", f"count(*) over ({in_bucket}) as members").where("members > 1").drop("members"))
-    traits = stage(reps.select("h", "i", "n", "sketch").join(shared.select("h").distinct(), "h", "left_semi"))
+    merged = known.groupBy("h").agg(F.min("i").alias("i"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    traits = stage(merged.join(shared.select("h").distinct(), "h", "left_semi"))
+    forget(spark, wide_path)
+    sets_of = traits.select("h")
     mine = traits.select(F.col("i").alias("known")).distinct()
     if traits.count() <= BROADCAST_IDS:
         mine = F.broadcast(mine)  # checked: one number a row; beyond that both sides are shuffled
-    sets = stage(_sets(rows.join(mine, F.col("i").eqNullSafe(F.col("known")), "left_semi"), width).dropDuplicates(["h"]).join(traits.select("h"), "h", "left_semi"))
+    sets = stage(_sets(rows.join(mine, F.col("i").eqNullSafe(F.col("known")), "left_semi"), width).dropDuplicates(["h"]).join(sets_of, "h", "left_semi"))
     of = [traits.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab"]
     possible = _possible(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), num, den)
     placed, tried, links = shared.withColumn("label", F.col("h")), None, None
@@ -280,11 +285,12 @@ def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "d
         placed = shared.join(labels.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("label", "h").alias("label"))
     # What is left: members of one bucket in different components.
     open_buckets = placed.selectExpr("key", "h", "label", f"min(label) over ({in_bucket}) <> max(label) over ({in_bucket}) as open").where("open").drop("open")
-    # A pair with several buckets in common counts in the one of the smallest key.
-    own_keys = open_buckets.groupBy("h").agg(F.collect_set("key").alias("keys"))
+    # A pair is left to the bucket of a smaller common key where the first keys of both show one;
+    # the smallest common key always lists it.
+    own_keys = open_buckets.withColumn("nth", F.row_number().over(Window.partitionBy("h").orderBy("key"))).where(F.col("nth") <= FIRST_KEYS).groupBy("h").agg(F.collect_list("key").alias("keys"))
     mixed = stage(open_buckets.join(own_keys, "h").join(traits.select("h", "n", "sketch"), "h"))
     sides = [mixed.select("key", F.col("h").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"), F.col("keys").alias(f"keys{x}")) for x in "ab"]
-    first_in_common = sides[0]["key"] == F.array_min(F.array_intersect("keysa", "keysb"))
+    first_in_common = F.coalesce(F.array_min(F.array_intersect("keysa", "keysb")) >= sides[0]["key"], F.lit(True))
     across = sides[0].join(sides[1], (sides[0]["key"] == sides[1]["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & possible & first_in_common)
     rest = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = stage(_verified(rest, sets, num, den))

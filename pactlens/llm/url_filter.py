@@ -33,8 +33,9 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING, STEPS, STEPS_PER_TABLE = 0.85, 12, 4
-#: Distrust minus trust, in units of the mean rank 1 / hosts, above which a host is blocked.
-THRESHOLD = 0.5
+#: Distrust minus trust, in units of the mean rank 1 / hosts, above which a host is blocked:
+#: more than the restart alone would give every host if all were seeds.
+THRESHOLD = 1 - DAMPING
 
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
