@@ -93,8 +93,15 @@ def max_similarity(vec: Column, seeds: np.ndarray, groups: list[int]) -> Column:
     return score(vec)
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows at unit length; rows that have it, and zero rows, stay bit for bit."""
+    norms = np.sqrt((rows * rows).sum(axis=1))
+    other = (norms > 0) & (np.abs(norms - 1) > 1e-6)
+    return rows / np.where(other, norms, 1.0)[:, None]
+
+
 def block_similarity(left: Column, right: Column, dim: Column) -> Column:
-    """Dot products of every row of one flattened block with every row of another.
+    """Cosines of every row of one flattened block and every row of another.
 
     A row yields at most ``BLOCK`` x ``BLOCK`` numbers.  The results are handed back a
     few rows at a time, so a batch of full blocks never stands in memory as a whole.
@@ -106,7 +113,7 @@ def block_similarity(left: Column, right: Column, dim: Column) -> Column:
             for start in range(0, len(a), SLICE):
                 out = []
                 for x, y, n in zip(a[start:start + SLICE], b[start:start + SLICE], d[start:start + SLICE]):
-                    x, y = (np.asarray(v, dtype=np.float64).reshape(-1, n) for v in (x, y))
+                    x, y = (_unit(np.asarray(v, dtype=np.float64).reshape(-1, n)) for v in (x, y))
                     out.append(list(np.round(x @ y.T, DECIMALS)))
                 yield pd.Series(out, dtype=object)
 

@@ -270,11 +270,19 @@ def _failure() -> Column:
     )
 
 
+def _filled(rows: DataFrame, citations: DataFrame) -> DataFrame:
+    """Q13, Q14: ``rows`` with the filled citations of their answers as ``sources``."""
+    fields = ("clause_id", "section_title", "source_location", "quoted_text")
+    packed = citations.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("filled"))
+    plain = F.transform("filled", lambda c: F.struct(*[c[f].alias(f) for f in fields]))
+    return rows.join(packed, "answer_id", "left").withColumn("sources", F.coalesce(plain, F.col("sources"))).drop("filled")
+
+
 def validate_answers(answers: DataFrame, supplied: DataFrame) -> DataFrame:
     """Q12-Q17 for answers ``(answer_id, answer, evidence_sufficient, confidence, sources, uncertainty)``."""
     said = F.array(F.concat(_quoted(F.col("answer")), F.lit(" "), _quoted(F.col("uncertainty"))))
     errors = citation_errors(answers, supplied, "sources", True).unionByName(guard_errors(answers, said, "answer"))
-    rows = _verdicts(answers, errors)
+    rows = _filled(_verdicts(answers, errors), fill_citations(answers, supplied))
     ok = F.col("is_valid")
     return rows.withColumns({
         "uncertainty": F.when(ok, F.col("uncertainty")).otherwise(_failure()),

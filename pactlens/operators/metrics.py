@@ -21,9 +21,12 @@ def _f1(p: Column, r: Column) -> Column:
 
 def confusion_matrix(pairs: DataFrame, labels: list[str]) -> DataFrame:
     """Counts of ``pairs(truth, pred)``; labels outside the list do not count."""
-    return pairs.where(F.col("truth").isin(labels)).groupBy("truth").agg(*[
+    counts = pairs.where(F.col("truth").isin(labels)).groupBy("truth").agg(*[
         F.count_if(F.col("pred") == x).alias(x) for x in labels
     ])
+    # Labels that the truth lacks have a row of zeros.
+    rows = pairs.sparkSession.createDataFrame([(x,) for x in labels], "truth string")
+    return rows.join(counts, "truth", "left").fillna(0, labels)
 
 
 def confusion_totals(pairs: DataFrame) -> DataFrame:

@@ -178,12 +178,18 @@ def candidate_pairs(
 ) -> DataFrame:
     """``(document_id, i, j, score, candidate_rank, cross_refs, cos, a, b)``.
 
-    ``features`` from ``clause_features`` with ``vec``; ``clause_index`` runs from 1
-    without gaps in every document, as segmentation numbers it.  ``a`` and ``b`` are the
-    narrow features of the two clauses, so the rules need no join back.
+    ``features`` from ``clause_features`` with ``vec``, any subset of the clauses of a
+    document: they are numbered here, in order of ``clause_index``, so gaps do not matter.
+    ``a`` and ``b`` are the narrow features of the two clauses, so the rules need no join
+    back.  A cut that is ``None`` is not made.
     """
-    names = ("cat", "friends", "kw", "flags", "refs", "sec", "section_title")
-    packed = stage(V.index_blocks(features, *names, size=block))
+    per_clause, per_document = (c or (1 << 30) for c in (per_clause, per_document))
+    names = ("cat", "friends", "kw", "flags", "refs", "sec", "section_title", "index", "clauses")
+    of_document = Window.partitionBy("document_id")
+    numbered = features.withColumns({"index": F.col("clause_index"), "clauses": F.count("*").over(of_document)}).withColumn(
+        "clause_index", F.row_number().over(of_document.orderBy("index"))
+    )
+    packed = stage(V.index_blocks(numbered, *names, size=block))
     owners = section_owners(
         packed.select("document_id", F.inline("rows")).withColumnRenamed("i", "clause_index")
     ).groupBy(
@@ -196,21 +202,21 @@ def candidate_pairs(
     ))).drop("owners")
 
     # Blocks against themselves.  A document of one block gets its final cut in place.
-    alone = (F.col("block") == 0) & (F.size("rows") < block)
+    alone = F.col("rows")[0]["clauses"] <= block
     within = packed.withColumn("sims", V.block_similarity(F.col("flat"), F.col("flat"), F.col("dim"))).select(
         "document_id", alone.alias("alone"),
-        _best_partners("rows", "(block = 0 AND size(rows) <= 5)", True, threshold, per_clause).alias("pairs"),
+        _best_partners("rows", "(rows[0].clauses <= 5)", True, threshold, per_clause).alias("pairs"),
     ).select("document_id", F.inline(F.when(
         F.col("alone"), F.slice(F.array_sort("pairs"), 1, per_document)
     ).otherwise(F.col("pairs"))))
-    # Every later block meets all earlier (hence full) ones; the keys spread that work.
+    # Every later block meets all earlier ones; the keys spread that work.
     later = packed.where("block > 0").select(
         "document_id", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"),
         F.col("rows").alias("right_rows"), F.col("flat").alias("right_flat"),
     )
-    across = packed.where(F.size("rows") == block).join(later, ["document_id", "block"]).withColumn(
+    across = packed.join(later, ["document_id", "block"]).withColumn(
         "sims", V.block_similarity(F.col("flat"), F.col("right_flat"), F.col("dim"))
-    ).select("document_id", F.inline(_best_partners("right_rows", "false", False, threshold, per_clause)))
+    ).select("document_id", F.inline(_best_partners("right_rows", "(rows[0].clauses <= 5)", False, threshold, per_clause)))
     # Partial rankings merge exactly: both cuts are row limits per group, taken before
     # and after the exchange, so no group travels or gathers whole.
     by_clause = Window.partitionBy("document_id", "i").orderBy("minus", "j")
@@ -221,7 +227,7 @@ def candidate_pairs(
         F.col("candidate_rank") <= per_document
     )
     return ranked.select(
-        "document_id", "i", "j", (-F.col("minus")).alias("score"), "candidate_rank", "cross_refs", "cos", "a", "b"
+        "document_id", F.col("a.index").alias("i"), F.col("b.index").alias("j"), (-F.col("minus")).alias("score"), "candidate_rank", "cross_refs", "cos", "a", "b"
     )
 
 

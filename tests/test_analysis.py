@@ -164,6 +164,22 @@ def test_pairs_equal_brute_force_for_any_block_size(spark):
     for block in (256, 7):
         pairs = relate.candidate_pairs(df, block=block, per_document=100).orderBy("candidate_rank").collect()
         assert [(p["i"], p["j"], round(p["score"], 9)) for p in pairs] == [(i, j, round(s, 9)) for i, j, s in kept[:100]]
+        # Numbers with gaps change nothing but the numbers.
+        gapped = df.withColumn("clause_index", df["clause_index"] * 300)
+        pairs = relate.candidate_pairs(gapped, block=block, per_document=100).orderBy("candidate_rank").collect()
+        assert [(p["i"], p["j"], round(p["score"], 9)) for p in pairs] == [(i * 300, j * 300, round(s, 9)) for i, j, s in kept[:100]]
+
+
+def test_candidates_of_vectors_of_any_length(spark):
+    clauses = spark.createDataFrame([("d", 1, [3.0, 0.0]), ("d", 2, [0.0, 1.0])], "document_id string, clause_index int, vec array<float>")
+    queries = spark.createDataFrame([("q", "d", [0.1, 0.2], 2)], "query_id string, document_id string, vec array<float>, top_k int")
+    got = retrieve.vector_candidates(queries, V.index_blocks(clauses)).orderBy("candidate_rank").collect()
+    assert [(r["clause_index"], round(r["base_score"], 4)) for r in got] == [(2, 0.8944), (1, 0.4472)]
+
+
+def test_confusion_matrix_has_all_labels(spark):
+    pairs = spark.createDataFrame([("A", "A"), ("A", "B")], "truth string, pred string")
+    assert sorted(map(tuple, metrics.confusion_matrix(pairs, ["A", "B", "C"]).collect())) == [("A", 1, 1, 0), ("B", 0, 0, 0), ("C", 0, 0, 0)]
 
 
 def test_grounding(spark):
@@ -186,6 +202,7 @@ def test_grounding(spark):
         words = cases[int(got["answer_id"])][1]
         if words is None:
             assert got["is_valid"] and got["validation_errors"] == [] and got["confidence"] == 0.9
+            assert got["sources"][0]["section_title"] == "1. Fees" and got["sources"][0]["source_location"].lower() == "offset 0-9"
         else:
             assert not got["is_valid"] and words in got["validation_errors"][0] and got["sources"] == [] and got["confidence"] == 0.0
             assert got["answer"] == rules.REJECTED_ANSWER and got["uncertainty"].startswith("Evidence validation failed with 1 error(s): ")
