@@ -50,7 +50,8 @@ CHUNK_BYTES = 2 << 20
 GROWTH = 1.25
 TURNS, FIRST_KEYS = 4, 16
 BROADCAST_IDS = 3_000_000
-SIGNATURE = "n bigint, h bigint, keys array<bigint>, sketch array<bigint>"
+SEEN = 1 << 18
+SIGNATURE = "n bigint, h bigint, sketch array<bigint>"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -178,24 +179,44 @@ def _chunks(texts) -> Iterator[list[bytes]]:
         yield held
 
 
-def signature(text: Column, width: int, num: int, den: int) -> Column:
-    """struct(n, h, keys, sketch) of a text's set; h is null for an empty set."""
+def signature(text: Column, width: int) -> Column:
+    """struct(n, h, sketch) of a text's set; h is null for an empty set."""
 
     @F.pandas_udf(SIGNATURE)
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bands = Bands(num, den, 1 << 12)
         for texts in batches:
-            rows = []
-            for chunk in _chunks(texts):
+            sets = [s for chunk in _chunks(texts) for s in shingle_sets(chunk, width)]
+            yield pd.DataFrame({
+                "n": [len(s) for s in sets],
+                "h": pd.array([set_hash(s) if len(s) else None for s in sets], dtype="Int64"),
+                "sketch": [narrow_sketch(s) if len(s) else None for s in sets],
+            })
+
+    return signed(text)
+
+
+def _keys(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(key, h) of every set of the text column ``t``; a task names a set it meets again only now and then."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bands, seen = Bands(num, den, 1 << 12), set()
+        for batch in batches:
+            for chunk in _chunks(batch["t"]):
+                hashes, keys = [], []
                 for s in shingle_sets(chunk, width):
+                    if not len(s) or (h := set_hash(s)) in seen:
+                        continue
                     if len(s) * 2 > bands.starts[-1]:
                         bands = Bands(num, den, len(s) * 4)
-                    rows.append((len(s), set_hash(s), bands.keys(s).view(np.int64), narrow_sketch(s)) if len(s) else (0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n", "h", "keys", "sketch"])
-            out["h"] = pd.array([r[1] for r in rows], dtype="Int64")
-            yield out
+                    seen.add(h)
+                    hashes.append(h)
+                    keys.append(bands.keys(s).view(np.int64))
+                if len(seen) > SEEN:
+                    seen.clear()
+                if keys:
+                    yield pd.DataFrame({"key": np.concatenate(keys), "h": np.repeat(np.array(hashes, np.int64), [len(k) for k in keys])})
 
-    return signed(text)
+    return docs.select("t").mapInPandas(made, "key bigint, h bigint")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -248,17 +269,15 @@ def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "d
         return df
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
-    wide, wide_path = written(rows.withColumn("s", signature(F.col("t"), width, num, den)).select("i", "s.*"))
-    signed = stage(wide.select("i", "n", "h"))
-    known = wide.where("h is not null")
-    # Equal sets are merged in part before they travel.
-    buckets = known.groupBy("h").agg(F.first("keys").alias("keys")).select("h", F.explode("keys").alias("key"))
-    # Buckets of one member are most of the table and end here.
+    signed = stage(rows.withColumn("s", signature(F.col("t"), width)).select("i", "s.*"))
+    known = signed.where("h is not null")
     in_bucket = "partition by key"
+    # One exchange by key serves the removal of repeats and the count; a task sent a set once, however often it met it.
+    buckets = _keys(rows, width, num, den).repartition("key").dropDuplicates(["key", "h"])
+    # Buckets of one member are most of the table and end here.
     shared = stage(buckets.selectExpr("key", "h", f"count(*) over ({in_bucket}) as members").where("members > 1").drop("members"))
     merged = known.groupBy("h").agg(F.min("i").alias("i"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     traits = stage(merged.join(shared.select("h").distinct(), "h", "left_semi"))
-    forget(spark, wide_path)
     sets_of = traits.select("h")
     mine = traits.select(F.col("i").alias("known")).distinct()
     if traits.count() <= BROADCAST_IDS:
@@ -282,9 +301,11 @@ def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "d
         tried, links = (now, found) if tried is None else (tried.unionByName(now), links.unionByName(found))
         labels, path = components(links)
         spent.append(path)
-        placed = shared.join(labels.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("label", "h").alias("label"))
+        placed = placed.drop("label").join(labels.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("label", "h").alias("label"))
+        # Labels only merge, so a bucket of one component is done for good.
+        placed = stage(placed.selectExpr("key", "h", "label", f"min(label) over ({in_bucket}) <> max(label) over ({in_bucket}) as open").where("open").drop("open"))
     # What is left: members of one bucket in different components.
-    open_buckets = placed.selectExpr("key", "h", "label", f"min(label) over ({in_bucket}) <> max(label) over ({in_bucket}) as open").where("open").drop("open")
+    open_buckets = placed
     # A pair is left to the bucket of a smaller common key where the first keys of both show one;
     # the smallest common key always lists it.
     own_keys = open_buckets.withColumn("nth", F.row_number().over(Window.partitionBy("h").orderBy("key"))).where(F.col("nth") <= FIRST_KEYS).groupBy("h").agg(F.collect_list("key").alias("keys"))
