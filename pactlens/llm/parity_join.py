@@ -10,7 +10,7 @@ d, and the sets themselves decide.
 
 Equal sets are merged before all this.  Within the bucket of a key no pairs are listed:
 
-1. in a few turns, every set that meets another component in a bucket tries one pair: with
+1. in a few turns, as long as they settle a fair part of what is open, every set that meets another component in a bucket tries one pair: with
    the hub (one member of each bucket) that it shares most keys with.  That is at most one
    verification per set and turn, and components grow fast;
 2. then members of different components of a bucket are compared with each other, so a
@@ -48,7 +48,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_BYTES = 2 << 20
 GROWTH = 1.25
-TURNS, FIRST_KEYS = 4, 16
+TURNS, WORTH, FIRST_KEYS = 4, 0.8, 16
 BROADCAST_IDS = 3_000_000
 SEEN = 1 << 18
 SIGNATURE = "n bigint, h bigint, sketch array<bigint>"
@@ -232,7 +232,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b), with their labels (la, lb), whose sets are similar enough."""
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -244,10 +244,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.loc[keep, ["a", "b", "la", "lb"]]
 
     full = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("sb")), "b")
-    return full.select("a", "b", "sa", "sb").mapInPandas(decide, "a bigint, b bigint")
+    return full.select("a", "b", "la", "lb", "sa", "sb").mapInPandas(decide, "a bigint, b bigint, la bigint, lb bigint")
 
 
 def _possible(na: Column, nb: Column, sa: Column, sb: Column, num: int, den: int) -> Column:
@@ -285,25 +285,33 @@ def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "d
     sets = stage(_sets(rows.join(mine, F.col("i").eqNullSafe(F.col("known")), "left_semi"), width).dropDuplicates(["h"]).join(sets_of, "h", "left_semi"))
     of = [traits.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab"]
     possible = _possible(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), num, den)
-    placed, tried, links = shared.withColumn("label", F.col("h")), None, None
+    placed, tried, links, open_rows = shared.withColumn("label", F.col("h")), None, None, None
     for turn in range(TURNS):
         # Every set with another component in a bucket tries the hub that it shares most keys with.
         facing = placed.selectExpr(
             "h", "label", f"min_by(struct(h, label), xxhash64(h, {turn})) over ({in_bucket}) as hub"
-        ).where("label <> hub.label").select("h", F.least("h", "hub.h").alias("a"), F.greatest("h", "hub.h").alias("b"))
-        pairs = facing.groupBy("h", "a", "b").agg(F.count(F.lit(1)).alias("keys"))
+        ).where("label <> hub.label").selectExpr(
+            "h", "least(h, hub.h) as a", "greatest(h, hub.h) as b",
+            "if(h < hub.h, label, hub.label) as la", "if(h < hub.h, hub.label, label) as lb",
+        )
+        pairs = facing.groupBy("h", "a", "b", "la", "lb").agg(F.count(F.lit(1)).alias("keys"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         allowed = pairs.join(of[0], "a").join(of[1], "b").where(possible)
-        best = allowed.groupBy("h").agg(F.max(F.struct("keys", "a", "b")).alias("p"))
-        now = stage(best.select("p.a", "p.b").distinct())
-        found = stage(_verified(now, sets, num, den))
+        best = allowed.groupBy("h").agg(F.max(F.struct("keys", "a", "b", "la", "lb")).alias("p"))
+        now = stage(best.select("p.a", "p.b", "p.la", "p.lb").distinct())
+        # A label is a member of its component, so links between labels join the same sets.
+        found = stage(_verified(now, sets, num, den).select("la", "lb").distinct())
+        now = now.select("a", "b")
         tried, links = (now, found) if tried is None else (tried.unionByName(now), links.unionByName(found))
-        labels, path = components(links)
+        labels, path = components(found, "la", "lb")
         spent.append(path)
-        placed = placed.drop("label").join(labels.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("label", "h").alias("label"))
+        placed = placed.join(labels.select(F.col("node").alias("label"), F.col("label").alias("newer")), "label", "left").select("key", "h", F.coalesce("newer", "label").alias("label"))
         # Labels only merge, so a bucket of one component is done for good.
         placed = stage(placed.selectExpr("key", "h", "label", f"min(label) over ({in_bucket}) <> max(label) over ({in_bucket}) as open").where("open").drop("open"))
+        before, open_rows = open_rows, placed.count()
+        if not open_rows or (before is not None and open_rows > before * WORTH):
+            break  # the rest is compared below; more turns would settle little of it
     # What is left: members of one bucket in different components.
     open_buckets = placed
     # A pair is left to the bucket of a smaller common key where the first keys of both show one;
@@ -313,9 +321,9 @@ def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "d
     sides = [mixed.select("key", F.col("h").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"), F.col("keys").alias(f"keys{x}")) for x in "ab"]
     first_in_common = F.coalesce(F.array_min(F.array_intersect("keysa", "keysb")) >= sides[0]["key"], F.lit(True))
     across = sides[0].join(sides[1], (sides[0]["key"] == sides[1]["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & possible & first_in_common)
-    rest = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    rest = across.select("a", "b", "la", "lb").distinct().join(tried, ["a", "b"], "left_anti")
     more = stage(_verified(rest, sets, num, den))
-    labels, path = components(links.unionByName(more))
+    labels, path = components(links.unionByName(more.select("la", "lb")), "la", "lb")
     spent.append(path)
     placed = signed.select("i", "n", "h").join(labels.withColumnRenamed("node", "h"), "h", "left").select("i", "n", "h", F.coalesce("label", "h").alias("label"))
     return placed, spent

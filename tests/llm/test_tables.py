@@ -1,5 +1,6 @@
 """The corpus operators on small tables: odd rows, empty tables, the whole small data set."""
 
+import random
 import zlib
 
 import duckdb
@@ -64,6 +65,31 @@ def test_groups(odd):
     assert exact_dedup.exact_duplicates(odd.limit(0)).count() == parity_join.linked(odd.limit(0), width=3, num=90, den=100).count() == 0
 
 
+@pytest.mark.parametrize("width, num", [(3, 90), (5, 80)])
+def test_join_equals_all_pairs(spark, width, num):
+    rng = random.Random(width)
+    words = [f"w{i}" for i in range(300)]
+    texts = [None, "", " ", "a"]
+    for size, copies in [(3, 2), (6, 3), (12, 4), (40, 6), (90, 6), (120, 60)]:
+        base = rng.choices(words, k=size)
+        for _ in range(copies):
+            copy = base[:]
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(size)] = rng.choice(words)
+            texts.append(" ".join(copy))
+    split = [(t or "").split() for t in texts]
+    sets = [{tuple(w[i:i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set()) for w in split]
+    component = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x & y and 100 * len(x & y) >= num * len(x | y) and component[i] != component[j]:
+                low, high = sorted((component[i], component[j]))
+                component = [low if c == high else c for c in component]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.linked(docs, width=width, num=num, den=100).collect()}
+    assert got == {i: (len(s), component[i]) for i, s in enumerate(sets)}
+
+
 def test_url_filter_propagates(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
     pages = spark.createDataFrame([
