@@ -6,7 +6,8 @@ most the size of the symmetric difference.  Sets of Jaccard similarity of at lea
 in at most d = (1 - t) / (1 + t) * (a + b) shingles.  Sketches of one size band are cut into
 more than d parts, so two linked sets agree on a part (pigeonhole); the parts are the keys of
 the join.  A narrow sketch of 256 bits then drops candidates whose distance already exceeds
-d, and the sets themselves decide.
+d, a sketch as wide as the sets demand (two bits a shingle or more) drops most of the rest,
+and the sets themselves decide.
 
 Equal sets are merged before all this.  Within the bucket of a key no pairs are listed:
 
@@ -161,6 +162,22 @@ def narrow_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
+def wide_sketch(shingles: np.ndarray) -> bytes:
+    """Parity bits of a set, a power of two that is at least twice its size (and 256)."""
+    bits = max(256, 1 << (2 * len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two wide sketches; the longer one is folded to the bits of the other."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def set_hash(shingles: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         total = np.add.reduce(mix(shingles ^ np.uint64(0x2545F4914F6CDD1D))) + np.uint64(len(shingles))
@@ -220,15 +237,37 @@ def _keys(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """h, shingles (sorted 64-bit integers) of the text column ``t``."""
+    """h, n, wide (its wide sketch), shingles (sorted 64-bit integers) of the text column ``t``."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for chunk in _chunks(batch["t"]):
                 sets = [s for s in shingle_sets(chunk, width) if len(s)]
-                yield pd.DataFrame({"h": [set_hash(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+                yield pd.DataFrame({
+                    "h": [set_hash(s) for s in sets], "n": [len(s) for s in sets],
+                    "wide": [wide_sketch(s) for s in sets], "shingles": [s.tobytes() for s in sets],
+                })
+
+    return docs.select("t").mapInPandas(made, "h bigint, n bigint, wide binary, shingles binary")
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (a, b, la, lb) with ``columns`` of both sets, as ``<column>_a`` and ``<column>_b``."""
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("h").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
+    return pairs.select("a", "b", "la", "lb", *[f"{c}_{x}" for c in columns for x in "ab"])
+
+
+def _close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose wide sketches allow the link; a pair carries about two bits a shingle here, not 64."""
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            most = (batch["n_a"] + batch["n_b"]) * (den - num) // (den + num)
+            keep = [sketch_distance(x, y) <= d for x, y, d in zip(batch["wide_a"], batch["wide_b"], most)]
+            yield batch.loc[keep, ["a", "b", "la", "lb"]]
 
-    return docs.select("t").mapInPandas(made, "h bigint, shingles binary")
+    return _beside(pairs, sets, "n", "wide").mapInPandas(decide, "a bigint, b bigint, la bigint, lb bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -237,7 +276,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["sa"], batch["sb"]):
+            for x, y in zip(batch["shingles_a"], batch["shingles_b"]):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
@@ -246,8 +285,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b", "la", "lb"]]
 
-    full = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("sb")), "b")
-    return full.select("a", "b", "la", "lb", "sa", "sb").mapInPandas(decide, "a bigint, b bigint, la bigint, lb bigint")
+    return _beside(pairs, sets, "shingles").mapInPandas(decide, "a bigint, b bigint, la bigint, lb bigint")
 
 
 def _possible(na: Column, nb: Column, sa: Column, sb: Column, num: int, den: int) -> Column:
@@ -301,7 +339,7 @@ def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "d
         best = allowed.groupBy("h").agg(F.max(F.struct("keys", "a", "b", "la", "lb")).alias("p"))
         now = stage(best.select("p.a", "p.b", "p.la", "p.lb").distinct())
         # A label is a member of its component, so links between labels join the same sets.
-        found = stage(_verified(now, sets, num, den).select("la", "lb").distinct())
+        found = stage(_verified(stage(_close(now, sets, num, den)), sets, num, den).select("la", "lb").distinct())
         now = now.select("a", "b")
         tried, links = (now, found) if tried is None else (tried.unionByName(now), links.unionByName(found))
         labels, path = components(found, "la", "lb")
@@ -322,7 +360,7 @@ def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "d
     first_in_common = F.coalesce(F.array_min(F.array_intersect("keysa", "keysb")) >= sides[0]["key"], F.lit(True))
     across = sides[0].join(sides[1], (sides[0]["key"] == sides[1]["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & possible & first_in_common)
     rest = across.select("a", "b", "la", "lb").distinct().join(tried, ["a", "b"], "left_anti")
-    more = stage(_verified(rest, sets, num, den))
+    more = stage(_verified(stage(_close(rest, sets, num, den)), sets, num, den))
     labels, path = components(links.unionByName(more.select("la", "lb")), "la", "lb")
     spent.append(path)
     placed = signed.select("i", "n", "h").join(labels.withColumnRenamed("node", "h"), "h", "left").select("i", "n", "h", F.coalesce("label", "h").alias("label"))
