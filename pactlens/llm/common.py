@@ -49,6 +49,14 @@ def forget(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice finished plans, so that the executors delete their shuffle files.
+
+    Spark does so at each collection of the driver's heap, which a job of many small stages may not reach for long.
+    """
+    spark._jvm.System.gc()
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -42,7 +42,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlens.llm.common import forget, fresh, written
+from pactlens.llm.common import forget, fresh, release, written
 from pactlens.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -304,6 +304,7 @@ def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "d
     def stage(df: DataFrame) -> DataFrame:
         df, path = written(df)
         spent.append(path)
+        release(spark)
         return df
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))

@@ -156,3 +156,15 @@ def test_trie_with_spills():
             if trie.full() and not trie.spill():
                 trie.budget *= 2
         assert {s: (i, n) for s, i, n, _ in trie.entries()} == expected
+
+
+def test_wide_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for size, other, common in ((1, 1, 1), (1, 2, 1), (120, 130, 60), (1000, 1100, 900), (1020, 1030, 1020), (5000, 100, 50)):
+        pool = np.unique(rng.integers(0, 2**64, size + other, dtype=np.uint64))
+        rng.shuffle(pool)
+        a, b = np.sort(pool[:size]), np.sort(pool[size - common:size - common + other])
+        wide = [parity_join.wide_sketch(s) for s in (a, b)]
+        assert parity_join.sketch_distance(*wide) <= len(np.setxor1d(a, b))
+        assert parity_join.sketch_distance(*wide) == parity_join.sketch_distance(*wide[::-1])
+        assert parity_join.sketch_distance(wide[0], wide[0]) == 0 and len(wide[0]) * 8 >= 2 * size
