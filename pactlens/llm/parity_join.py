@@ -47,7 +47,8 @@ from pactlens.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHUNK_BYTES = 2 << 20
+#: Text that is turned into shingles at once; numpy holds about 60 bytes for each of its letters.
+CHUNK_BYTES = 1 << 19
 GROWTH = 1.25
 TURNS, WORTH, FIRST_KEYS = 4, 0.8, 16
 BROADCAST_IDS = 3_000_000
@@ -202,12 +203,10 @@ def signature(text: Column, width: int) -> Column:
     @F.pandas_udf(SIGNATURE)
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sets = [s for chunk in _chunks(texts) for s in shingle_sets(chunk, width)]
-            yield pd.DataFrame({
-                "n": [len(s) for s in sets],
-                "h": pd.array([set_hash(s) if len(s) else None for s in sets], dtype="Int64"),
-                "sketch": [narrow_sketch(s) if len(s) else None for s in sets],
-            })
+            made = []
+            for chunk in _chunks(texts):  # a chunk's sets go before the next one's come
+                made += [(len(s), set_hash(s), narrow_sketch(s)) if len(s) else (0, None, None) for s in shingle_sets(chunk, width)]
+            yield pd.DataFrame({"n": [n for n, _, _ in made], "h": pd.array([h for _, h, _ in made], dtype="Int64"), "sketch": [k for _, _, k in made]})
 
     return signed(text)
 
