@@ -7,7 +7,8 @@ a host is blocked where distrust exceeds trust by more than the threshold.
 
 Links are the absolute ``href`` targets of the pages, summed to one weighted edge per pair of
 hosts before anything else, so a host with a third of all pages is one row.  Both ranks move
-in the same join and sum; lineage is cut by a written table every few steps.
+in the same join and sum; lineage is cut by a written table every few steps, and the steps
+end when all that is still to be handed on could move no host by ``TOLERANCE`` mean ranks.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule and
 is allowed unless propagation says otherwise; null html has no links; links of a host to
@@ -32,10 +33,12 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DAMPING, STEPS, STEPS_PER_TABLE = 0.85, 12, 4
+DAMPING, STEPS_PER_TABLE = 0.85, 4
 #: Distrust minus trust, in units of the mean rank 1 / hosts, above which a host is blocked:
 #: more than the restart alone would give every host if all were seeds.
 THRESHOLD = 1 - DAMPING
+#: In the same units: the most that steps not taken could still add to any host.
+TOLERANCE = 1e-6
 
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
@@ -69,15 +72,21 @@ def host_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagated(hosts: DataFrame, edges: DataFrame, *, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def propagated(hosts: DataFrame, edges: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Trust and distrust of each host.
 
     ``hosts``: host, trusted, distrusted (booleans).  Every step hands a host's trust on along
     its links and its distrust back along the links to it; what a host without such links
     holds is not handed on.
+
+    Ranks only grow, from the restart alone.  A step hands on at most ``damping`` of the last
+    growth, so all later steps together add at most growth * damping / (1 - damping), to all
+    hosts and so to any; the steps needed grow with the logarithm of the number of hosts.
     """
+    if not 0 <= damping < 1 or not tolerance > 0:
+        raise ValueError("damping must be in [0, 1) and tolerance above 0")
     spark = hosts.sparkSession
-    counts = hosts.agg(F.count(F.when(F.col("trusted"), 1)).alias("t"), F.count(F.when(F.col("distrusted"), 1)).alias("d")).first()
+    counts = hosts.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("trusted"), 1)).alias("t"), F.count(F.when(F.col("distrusted"), 1)).alias("d")).first()
     seeds = hosts.select(
         "host", (F.col("trusted").cast("double") / max(1, counts["t"])).alias("t0"), (F.col("distrusted").cast("double") / max(1, counts["d"])).alias("d0")
     )
@@ -90,25 +99,33 @@ def propagated(hosts: DataFrame, edges: DataFrame, *, damping: float = DAMPING,
         )
     )
     first, first_path = written(seeds)
-    ranks, path, spent = first.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust")), None, []
-    for step in range(1, steps + 1):
-        given = moves.join(ranks.withColumnRenamed("host", "giver"), "giver").groupBy("host").agg(
-            F.sum(F.col("t") * F.col("trust")).alias("gt"), F.sum(F.col("d") * F.col("distrust")).alias("gd")
-        )
+    restart = [((1 - damping) * F.col(c)) for c in ("t0", "d0")]
+    ranks, path, step, rest = first.select("host", *[c.alias(n) for n, c in zip(("trust", "distrust", "new_t", "new_d"), restart * 2)]), None, 0, 1.0
+    while path is None or rest * counts["n"] > tolerance:
+        # The growth moves beside the ranks, so that a step reads its predecessor once.
+        given = moves.join(ranks.withColumnRenamed("host", "giver"), "giver").groupBy("host").agg(*[
+            F.sum(F.col(share) * F.col(held)).alias(f"g_{held}") for share, held in (("t", "trust"), ("d", "distrust"), ("t", "new_t"), ("d", "new_d"))
+        ])
+        handed = {held: damping * F.coalesce(f"g_{held}", F.lit(0.0)) for held in ("trust", "distrust", "new_t", "new_d")}
         ranks = first.join(given, "host", "left").select(
-            "host", ((1 - damping) * F.col("t0") + damping * F.coalesce("gt", F.lit(0.0))).alias("trust"),
-            ((1 - damping) * F.col("d0") + damping * F.coalesce("gd", F.lit(0.0))).alias("distrust"),
+            "host", (restart[0] + handed["trust"]).alias("trust"), (restart[1] + handed["distrust"]).alias("distrust"),
+            handed["new_t"].alias("new_t"), handed["new_d"].alias("new_d"),
         )
-        if step % STEPS_PER_TABLE == 0 or step == steps:
+        step += 1
+        if step % STEPS_PER_TABLE == 0:
+            before = path
             ranks, path = written(ranks)
-            spent.append(path)
-    forget(spark, moves_path, first_path, *spent[:-1])
-    return ranks
+            if before:
+                forget(spark, before)
+            growth = ranks.agg(F.sum("new_t").alias("t"), F.sum("new_d").alias("d")).first()
+            rest = max(growth["t"] or 0.0, growth["d"] or 0.0) * damping / (1 - damping)
+    forget(spark, moves_path, first_path)
+    return ranks.select("host", "trust", "distrust")
 
 
 def judged(
     pages: DataFrame, *, url_col: str = "url", html_col: str = "html", rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD,
-    damping: float = DAMPING, steps: int = STEPS,
+    damping: float = DAMPING, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """``pages`` with a struct column: host, path, rule, verdict, trust, distrust.
 
@@ -126,7 +143,7 @@ def judged(
         linked.select("host", F.lit(False).alias("trusted"), F.lit(False).alias("distrusted"))
     ).groupBy("host").agg(F.max("trusted").alias("trusted"), F.max("distrusted").alias("distrusted"))
     hosts, hosts_path = written(hosts)
-    ranks = propagated(hosts, edges, damping=damping, steps=steps)
+    ranks = propagated(hosts, edges, damping=damping, tolerance=tolerance)
     forget(pages.sparkSession, edges_path, hosts_path)
     worse = (F.col("distrust") - F.col("trust")) * ranks.count() > threshold
     verdicts = ranks.select(F.struct("host", "trust", "distrust", worse.alias("bad")).alias(out))

@@ -102,6 +102,25 @@ def test_url_filter_propagates(spark):
     assert got[2]["trust"] > 0 and url_filter.judged(pages.limit(0)).count() == 0
 
 
+def test_url_filter_propagates_to_the_end(spark):
+    # A chain of 20 hosts behind one blocked host, and a ring whose distrust never stops moving.
+    links = {f"c{i}.org": [f"c{i - 1}.org" if i > 1 else "bad.net"] for i in range(1, 20)}
+    links |= {"ring-a.org": ["bad.net", "ring-b.org"], "ring-b.org": ["ring-a.org"]}
+    rows = [("http://bad.net/es/1", "")] + [(f"http://{h}/", "".join(f'<a href="http://{t}/">' for t in to)) for h, to in links.items()]
+    into = {h: [s for s, to in links.items() if h in to] for h in ["bad.net", *links]}
+    want = dict.fromkeys(into, 0.0)
+    for _ in range(1000):
+        new = {h: 0.15 * (h == "bad.net") for h in into}
+        for h, sources in into.items():
+            for s in sources:
+                new[s] += 0.85 * want[h] / len(sources)
+        want = new
+    got = {r["judged"]["host"]: r["judged"] for r in url_filter.judged(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert set(got) == set(want) and all(abs(got[h]["distrust"] - want[h]) * len(want) <= 1e-6 for h in want)
+    assert {h for h in got if got[h]["verdict"] == "block"} == {"bad.net"} | {h for h in want if want[h] * len(want) > 0.15}
+    assert want["c13.org"] > 0 < got["c19.org"]["distrust"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     assert compare(spark, connect(FOLDER), FOLDER, queries.QUERIES[name], queries.ORACLES[name]).startswith("ok")
