@@ -5,9 +5,11 @@ labelled bad.  A text is compressed with each; the difference of the two sizes o
 says which kind it resembles, and a logistic curve, fitted on labelled texts that the
 dictionaries have not seen, turns it into a probability.
 
-Fitting takes at most ``TRAIN_ROWS`` whole texts (and ``TRAIN_BYTES``) of each label, the
-first in order of a hash of their id, so the driver holds a bounded sample; scoring covers
-all rows.
+Fitting takes at most ``TRAIN_ROWS`` labels of each kind, the first in order of a hash of
+their id, and of their whole texts, in the same order, those before which less than
+``TRAIN_BYTES`` are taken; texts longer than a 64th of that come behind all others.  So the
+driver holds a bounded sample (and one text), the same one in any layout of the rows; scoring
+covers all rows.
 
 Defined cases: null counts as empty text and gets the probability of the fitted curve at
 difference 0; without both labels every score is the share of good labels (0.5 without any);
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlens.llm.common import fresh, is_held_out
+from pactlens.llm.common import forget, fresh, is_held_out, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -84,13 +86,19 @@ def train(
     order = F.xxhash64(F.lit("train"), F.col("li").cast("string"))
     chosen = [known.where(F.col("q") == q).orderBy(order, "li").limit(rows) for q in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 x rows pairs of numbers
-    found = docs.join(sample, F.col(id_col) == F.col("li")).select("q", order.alias("o"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found, path = written(docs.join(sample, F.col(id_col) == F.col("li")).select(
+        "q", order.alias("o"), "li", F.octet_length(text).cast("bigint").alias("b"), F.xxhash64(text).alias("x"), text.alias("t")
+    ))
+    # The byte bound is cut on narrow rows, equal ones as one with their number.
+    same = ["q", "o", "li", "b", "x"]
+    in_order = Window.partitionBy("q").orderBy(F.col("b") > most_bytes // 64, "o", "li", "b", "x")
+    taken = found.groupBy(same).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum(F.col("b") * F.col("n")).over(in_order) - F.col("b") * F.col("n"))
+    fits = taken.where(F.col("before") < most_bytes).select(*same, F.least("n", F.ceil((F.lit(most_bytes) - F.col("before")) / F.greatest("b", F.lit(1)))).alias("n"))
     texts: dict[int, list[tuple[int, bytes]]] = {0: [], 1: []}
-    held = {0: 0, 1: 0}
-    for row in found.toLocalIterator():
-        if held[row["q"]] < most_bytes:
-            texts[row["q"]].append((row["o"], row["t"].encode()))
-            held[row["q"]] += len(texts[row["q"]][-1][1])
+    for row in found.dropDuplicates(same).join(fits, same).toLocalIterator():
+        texts[row["q"]] += [(row["o"], row["t"].encode())] * row["n"]
+    forget(docs.sparkSession, path)
     ordered = {q: [t for _, t in sorted(texts[q])] for q in texts}
     n_bad, n_good = (known.where(F.col("q") == q).count() for q in (0, 1))
     share = (n_good + 0.5) / (n_bad + n_good + 1) if n_bad + n_good else 0.5
