@@ -8,9 +8,10 @@ the search may move; shift 0 leads to the bucket of patterns whose prefix ends w
 block, and those are compared byte by byte.  A batch of texts is one long string that is cut
 into lanes, and all lanes move together in numpy.
 
-The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text (one block for usual
-sizes); each block is one more pass over the documents' hits, so any size is searched whole
-and no task or driver holds more than one block.
+The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text and ``BLOCK_WINDOWS``
+windows (one block for usual sizes; a larger item is a block of its own); each block is one
+more pass over the documents, and the table is written between passes, so any number of items
+is searched whole and no task or driver holds more than one block.
 
 Defined cases: a null or wordless document has no words and no hits; a null or wordless item
 has no windows; an item with a null id hits words but is not listed; repeated rows count as
@@ -28,12 +29,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlens.llm.common import fresh
+from pactlens.llm.common import forget, fresh, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, BLOCK_WINDOWS = 16 << 20, 1 << 18
+BUCKETS_PER_BLOCK = 64
 LANES, CHUNK_BYTES = 8192, 8 << 20
 HITS = "n_words bigint, hits array<bigint>, items array<string>"
 
@@ -189,18 +191,43 @@ def _pass(benchmark: Benchmark):
     return hits
 
 
+def _blocks(rows: DataFrame, window: int, block_bytes: int, block_windows: int) -> tuple[int, list[tuple[int, int]]]:
+    """The number of hash buckets of items, and the ranges of buckets that make the blocks."""
+    words = F.regexp_count("t", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
+    sized = rows.select("h", F.octet_length("t").cast("bigint").alias("b"), F.greatest(words - (window - 1), F.least(words, F.lit(1))).cast("bigint").alias("w"))
+    whole = sized.agg(F.sum("b").alias("b"), F.sum("w").alias("w")).first()
+    buckets = BUCKETS_PER_BLOCK * (1 + (whole["b"] or 0) // block_bytes + (whole["w"] or 0) // block_windows)
+    sums = sized.groupBy(F.pmod("h", F.lit(buckets)).alias("k")).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("w"), F.lit(0)).alias("w"))
+    blocks: list[tuple[int, int]] = []
+    held = (0, 0)
+    for k, b, w in sorted(tuple(r) for r in sums.collect()):  # three numbers a bucket
+        held = held[0] + b, held[1] + w
+        if blocks and held[0] <= block_bytes and held[1] <= block_windows:
+            blocks[-1] = blocks[-1][0], k
+        else:
+            blocks.append((k, k))
+            held = b, w
+    return buckets, blocks or [(0, 0)]
+
+
 def with_hits(
-    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """``docs`` with a last struct column: n_words, hits (flat word ranges), items (ids as text)."""
     out = fresh(docs, "contamination")
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t"), F.xxhash64(item_text_col, F.col(item_col).cast("string")).alias("h"))
-    size = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
-    blocks = int(size) // block_bytes + 1
+    buckets, blocks = _blocks(rows, window, block_bytes, block_windows)
     none = F.array().cast("array<bigint>"), F.array().cast("array<string>")
     docs = docs.withColumn(out, F.struct(F.lit(0).cast("bigint").alias("n_words"), none[0].alias("hits"), none[1].alias("items")))
-    for b in range(blocks):  # each block is bounded by block_bytes (or is one item)
-        items = [(r["i"], r["t"]) for r in rows.where(F.pmod("h", F.lit(blocks)) == b).select("i", "t").collect()]
+    path = None
+    for b, (low, high) in enumerate(blocks):
+        if b:  # in one plan, a task would hold the blocks of all passes
+            before = path
+            docs, path = written(docs)
+            if before:
+                forget(docs.sparkSession, before)
+        items = [(r["i"], r["t"]) for r in rows.where(F.pmod("h", F.lit(buckets)).between(low, high)).select("i", "t").collect()]
         scan = _pass(Benchmark(items, window))
         docs = docs.withColumn(out, scan(F.col(text_col), F.col(f"{out}.hits"), F.col(f"{out}.items")))
     return docs
