@@ -55,6 +55,15 @@ SCRIPT_NAMES = sorted({s for _, s in SCRIPTS})
 SCRIPT_OF = np.array([SCRIPT_NAMES.index(s) for _, s in SCRIPTS])
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters, in lower case."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # Superscripts, fractions, circled and Roman numbers fit the pattern, but are no letters.
+    return [w for f in found for w in ([f] if f.isalpha() else "".join(c if c.isalpha() else " " for c in f).split())]
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all pairs and triples of letters, the word each belongs to, word scripts."""
     points = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le"), "<u4").astype(np.uint64)
@@ -165,7 +174,7 @@ class LanguageModel:
 
     def label(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """(language, score, spans of words) of each text."""
-        found = [WORD.findall(t.lower()) for t in texts]
+        found = [words_of(t) for t in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         words = [w for f in found for w in f]
         if not words or not self.languages:
@@ -207,7 +216,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         for batch in batches:
             for language, texts in batch.groupby("l")["t"]:
                 for text in texts:
-                    words = WORD.findall(text.lower())
+                    words = words_of(text)
                     if not words:
                         continue
                     bucket, _, script = grams(words)

@@ -168,3 +168,9 @@ def test_wide_sketches_bound_the_difference():
         assert parity_join.sketch_distance(*wide) <= len(np.setxor1d(a, b))
         assert parity_join.sketch_distance(*wide) == parity_join.sketch_distance(*wide[::-1])
         assert parity_join.sketch_distance(wide[0], wide[0]) == 0 and len(wide[0]) * 8 >= 2 * size
+
+
+def test_numbers_are_no_letters():
+    assert language_id.words_of("½ ² ① Ⅳ 12 m²s _É 一二") == ["m", "s", "é", "一二"]
+    model = language_id.LanguageModel(["aa", "bb"], np.ones((2, 1 << language_id.BITS)), np.ones((2, len(language_id.SCRIPT_NAMES))))
+    assert [r[0] for r in model.label(["½ ² 12", "½ a"])] == ["und", "aa"]
