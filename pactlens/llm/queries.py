@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.functions.staging import scratch_folder
-from pactlens.llm import decontaminate, exact_dedup, language_id, mixing, parity_join, personal_data, quality, token_counts, token_output, url_filter
+from pactlens.llm import (
+    conversation_repair, decontaminate, exact_dedup, language_id, line_cleaning, merkle, mixing, parity_join, personal_data, quality, token_counts,
+    token_output, url_filter,
+)
 from pactlens.llm.common import is_held_out, table
 
 
@@ -86,6 +89,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("cleaning")
+    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate", "n_navigation", "n_punctuation", "lost_chars")
+    return line_cleaning.with_cleaning(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *[c[f].alias(f) for f in fields])
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.audited_all(rows, conversation_repair.damaged(rows))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,11 +114,110 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_output, op2_personal_data, op3_decontamination, op4_mixing, op5_url_filter, op6_jaccard_join, op7_quality, op8_exact_dedup,
-        op9_token_counts, op10_language_id, pipeline,
+        op9_token_counts, op10_language_id, op11_quality_rules, op12_merkle_manifest, op13_conversation_repair, pipeline,
     )
 }
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _rules_sql() -> str:
+    """op11: words of the lines, the rule that each line fails, windows of eight words."""
+    q = _sql_text
+    separators = ", ".join(map(q, line_cleaning.SEPARATORS))
+    symbols = lambda t: f"len(regexp_replace({t}, '[^#*$%&|<>]', '', 'g'))"
+    spoken = lambda t: f"len(regexp_replace({t}, '[\\x20\\x09-\\x0D]', '', 'g'))"
+    window = " || ' ' || ".join(f"words[i + {k}]" for k in range(line_cleaning.WINDOW))
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+lines AS (
+  SELECT r, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM (SELECT r, string_split(t, chr(10)) AS ls FROM docs)
+), words AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM lines),
+judged AS (
+  SELECT *, CASE WHEN len(ws) = 0 THEN NULL
+    WHEN len(ws) <= {line_cleaning.BOILERPLATE_WORDS} AND regexp_matches(line, {q(line_cleaning.BOILERPLATE)}) THEN 'boilerplate'
+    WHEN len(list_filter(ws, lambda w: w IN ({separators}))) >= 3 AND 4 * len(list_filter(ws, lambda w: w IN ({separators}))) >= len(ws) THEN 'navigation'
+    WHEN len(ws) <= {line_cleaning.MENU_WORDS} AND regexp_matches(line, {q(line_cleaning.MENU)}) THEN 'navigation'
+    WHEN {symbols("line")} * 2 > len(ws) OR len(list_filter(ws, lambda w: regexp_matches(w, '[!?][!?]'))) * 3 > len(ws)
+      OR len(list_filter(ws, lambda w: regexp_matches(w, {q(line_cleaning.SENTENCE_END)}))) = 0 THEN 'punctuation' END AS rule
+  FROM words
+), per_doc AS (
+  SELECT r, flatten(list(ws ORDER BY k)) AS words, count(*) FILTER (len(ws) > 0) - count(DISTINCT line) FILTER (len(ws) > 0) AS n_dup_lines,
+    count(*) FILTER (rule = 'boilerplate') AS n_boilerplate, count(*) FILTER (rule = 'navigation') AS n_navigation,
+    count(*) FILTER (rule = 'punctuation') AS n_punctuation, coalesce(sum({spoken("line")}) FILTER (rule IS NOT NULL), 0)::BIGINT AS lost_chars
+  FROM judged GROUP BY r
+), starts AS (SELECT r, words, unnest(range(1, len(words) - {line_cleaning.WINDOW - 2})) AS i FROM per_doc WHERE len(words) > {line_cleaning.WINDOW}),
+twins AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, {window}) AS n FROM starts) WHERE n > 1),
+repeats AS (
+  SELECT r, sum(least({line_cleaning.WINDOW}, coalesce(next - i, {line_cleaning.WINDOW})))::BIGINT AS n
+  FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM twins) GROUP BY r
+), measured AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, {spoken("t")}::BIGINT AS word_chars, {symbols("t")}::BIGINT AS n_symbols, n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, n_boilerplate, n_navigation, n_punctuation, lost_chars
+  FROM docs JOIN per_doc USING (r) LEFT JOIN repeats USING (r)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost_chars <= {line_cleaning.MAX_LOST_PERCENT} * word_chars AS kept
+FROM measured
+"""
+
+
+def _manifest_sql(levels: int = 9) -> str:
+    """op12: the levels of all trees one above the other, enough for 8^levels leaves a tree."""
+    shown = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda t: "sha256(" + " || ".join([shown(c) for c in ("doc_id", "source", "lang", "n_chars")] + [shown(t)]) + ")"
+
+    def tree(name: str, ground: str, key: str) -> str:
+        """Levels, and per leaf the path: the roots above, siblings joined, the runs on the way."""
+        out = [f"{name}0 AS (SELECT {key} AS k, pos, h, count(*) OVER (PARTITION BY {key}) AS n FROM {ground})"]
+        for l in range(levels):
+            out.append(f"""{name}{l + 1} AS (
+  SELECT k, CASE WHEN n > 1 THEN pos // 8 ELSE 0 END AS pos, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h,
+    CASE WHEN any_value(n) > 1 THEN (any_value(n) + 7) // 8 ELSE 1 END AS n
+  FROM {name}{l} GROUP BY k, CASE WHEN n > 1 THEN pos // 8 ELSE 0 END)""")
+            out.append(f"""{name}s{l} AS (
+  SELECT k, pos, n > 1 AS inner, coalesce(string_agg(h, '' ORDER BY pos) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS ahead,
+    coalesce(string_agg(h, '' ORDER BY pos) OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind
+  FROM {name}{l} WINDOW run AS (PARTITION BY k, pos // 8 ORDER BY pos))""")
+        return ",\n".join(out)
+
+    def climb(name: str, source: str, start: str) -> str:
+        """From ``source(r, k, pos, cur, proof)`` through all levels of a tree."""
+        out, prior = [], source
+        for l in range(levels):
+            out.append(f"""{start}{l} AS (
+  SELECT r, c.k, CASE WHEN inner THEN c.pos // 8 ELSE 0 END AS pos, CASE WHEN inner THEN sha256(ahead || cur || behind) ELSE cur END AS cur,
+    proof || CASE WHEN inner THEN ahead || behind ELSE '' END AS proof
+  FROM {prior} c JOIN {name}s{l} s ON s.k = c.k AND s.pos = c.pos)""")
+            prior = f"{start}{l}"
+        return ",\n".join(out)
+
+    # DuckDB has no crc32; this one goes through the bits of the digits of the id.
+    crc = """xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b:
+      list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT))"""
+    return f"""
+WITH ids AS (SELECT *, row_number() OVER () AS r, coalesce('=' || lang, '') AS tree FROM documents),
+hashed AS (
+  SELECT r, doc_id, tree, {leaf("text")} AS h,
+    CASE WHEN {crc} % 3 = 0 THEN {leaf(low)} ELSE {leaf("text")} END AS other FROM ids
+), placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, other) - 1 AS pos FROM hashed),
+{tree("a", "placed", "tree")},
+subroots AS (SELECT k AS tree, h, row_number() OVER (ORDER BY k) - 1 AS pos FROM a{levels}),
+{tree("b", "subroots", "''")},
+start AS (SELECT r, tree AS k, pos, other AS cur, '' AS proof FROM placed),
+{climb("a", "start", "c")},
+middle AS (SELECT c.r, '' AS k, s.pos, c.cur, c.proof FROM c{levels - 1} c JOIN subroots s ON s.tree = c.k),
+{climb("b", "middle", "d")}
+SELECT doc_id, p.h AS leaf, s.h AS subroot, b.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = b.h AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN b{levels} b ON true JOIN d{levels - 1} d USING (r)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_quality_rules": _rules_sql(),
+    "op12_merkle_manifest": _manifest_sql(),
     "op4_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents
