@@ -178,7 +178,7 @@ def _manifest_sql(levels: int = 9) -> str:
     CASE WHEN any_value(n) > 1 THEN (any_value(n) + 7) // 8 ELSE 1 END AS n
   FROM {name}{l} GROUP BY k, CASE WHEN n > 1 THEN pos // 8 ELSE 0 END)""")
             out.append(f"""{name}s{l} AS (
-  SELECT k, pos, n > 1 AS inner, coalesce(string_agg(h, '' ORDER BY pos) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS ahead,
+  SELECT k, pos, n > 1 AS inside, coalesce(string_agg(h, '' ORDER BY pos) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS ahead,
     coalesce(string_agg(h, '' ORDER BY pos) OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind
   FROM {name}{l} WINDOW run AS (PARTITION BY k, pos // 8 ORDER BY pos))""")
         return ",\n".join(out)
@@ -188,8 +188,8 @@ def _manifest_sql(levels: int = 9) -> str:
         out, prior = [], source
         for l in range(levels):
             out.append(f"""{start}{l} AS (
-  SELECT r, c.k, CASE WHEN inner THEN c.pos // 8 ELSE 0 END AS pos, CASE WHEN inner THEN sha256(ahead || cur || behind) ELSE cur END AS cur,
-    proof || CASE WHEN inner THEN ahead || behind ELSE '' END AS proof
+  SELECT r, c.k, CASE WHEN inside THEN c.pos // 8 ELSE 0 END AS pos, CASE WHEN inside THEN sha256(ahead || cur || behind) ELSE cur END AS cur,
+    proof || CASE WHEN inside THEN ahead || behind ELSE '' END AS proof
   FROM {prior} c JOIN {name}s{l} s ON s.k = c.k AND s.pos = c.pos)""")
             prior = f"{start}{l}"
         return ",\n".join(out)
