@@ -1,10 +1,11 @@
 """Typed relationships between clauses of one document.
 
 Patterns and keywords are evaluated once per clause and packed into two integers.  The
-pairs of a document are scored inside rows that hold two blocks of at most 256 clauses,
+pairs of a document are scored inside rows that hold two blocks of clauses (``pair_blocks``),
 and a row hands on only the best partners of each clause; no row is ever made per pair.
 A document of one block needs no shuffle beyond the one that packs it.  Longer documents
-spread their block pairs over tasks and merge the partial rankings exactly.
+spread their block pairs over tasks, leave out those that cannot change the result, and
+merge the partial rankings exactly.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pactlens import rules
 from pactlens.functions import text as T
 from pactlens.functions import vectors as V
-from pactlens.functions.staging import stage
+from pactlens.operators import pair_blocks as P
 
 # Bits of the flag column, one per pattern.
 _FLAG_PATTERNS = {
@@ -116,59 +117,6 @@ def _either_way(a: Column, b: Column, first: str, second: str) -> Column:
     return (_has(a, first) & _has(b, second)) | (_has(b, first) & _has(a, second))
 
 
-def _either_way_sql(first: str, second: str) -> str:
-    f, g = _BIT[first], _BIT[second]
-    return f"((a.flags & {f} != 0 AND b.flags & {g} != 0) OR (b.flags & {f} != 0 AND a.flags & {g} != 0))"
-
-
-# The pair kernel is SQL text: it is one expression, read once, not thousands of calls.
-
-_CROSS_REFS = "concat(filter(a.refs, r -> r = b.own), filter(b.refs, r -> r = a.own))"
-
-
-def _score_sql(cos: str, small: str, threshold: float) -> str:
-    """Priority of the pair (a, b); the summands are added in a fixed order."""
-    temporal, excepts, qualifies = _BIT["TEMPORAL"], _BIT["EXCEPTS"], _BIT["QUALIFIES"]
-    linked = f"""
-        if(size(a.refs) = 0 AND size(b.refs) = 0, 0D, aggregate({_CROSS_REFS}, 0D, (s, r) -> s + 0.40D))
-        + CASE WHEN a.cat = b.cat AND a.cat <> 0 THEN 0.35D
-               WHEN getbit(a.friends, greatest(b.cat, 0)) = 1 THEN 0.30D ELSE 0D END
-        + CASE WHEN bit_count(a.kw & b.kw) >= 2 THEN 0.25D WHEN a.kw & b.kw <> 0 THEN 0.15D ELSE 0D END
-        + if({cos} >= {threshold}D, 0.25D, 0D)
-        + if({_either_way_sql('cancel', 'renewal')}, 0.40D, 0D)
-        + if({_either_way_sql('modify', 'notify')}, 0.40D, 0D)
-        + if(a.flags & b.flags & {temporal} <> 0, 0.35D, 0D)"""
-    weight = f"if(s > 0 OR {small}, 0.30D, 0.15D)"
-    total = f"""transform(array({linked}), s -> s
-        + if((a.flags | b.flags) & {excepts} <> 0, {weight}, 0D)
-        + if((a.flags | b.flags) & {qualifies} <> 0, {weight}, 0D))[0]"""
-    # Below 0.2 there is at most one shared keyword, which is no reason by itself.
-    return f"transform(array({total}), t -> if({small} AND t < 0.2D, 0.30D, t))[0]"
-
-
-def _best_partners(right: str, small: str, diagonal: bool, threshold: float, cap: int) -> Column:
-    """X5, X14, X15 within two blocks: the best later partners of every clause in ``rows``.
-
-    ``sims[n][m]`` is the similarity of the ``n``-th left and the ``m``-th right clause.
-    """
-    skip = "n + 1" if diagonal else "0"
-    score = _score_sql(f"coalesce(sims[n][m + {skip}], 0D)", small, threshold)
-    return F.expr(f"""
-        flatten(transform(rows, (a, n) -> transform(
-            slice(array_sort(filter(
-                transform(
-                    slice({right}, {skip} + 1, size({right})),
-                    (b, m) -> struct(-{score} AS minus, b.i AS j, m + {skip} AS m)
-                ),
-                c -> {small} OR c.minus <= -0.25D
-            )), 1, {cap}),
-            c -> transform(array({right}[c.m]), b -> struct(
-                c.minus AS minus, a.i AS i, c.j AS j, {_CROSS_REFS} AS cross_refs, sims[n][c.m] AS cos, a AS a, b AS b
-            ))[0]
-        )))
-    """)
-
-
 def candidate_pairs(
     features: DataFrame,
     threshold: float = rules.SEMANTIC_PAIR_THRESHOLD,
@@ -178,57 +126,16 @@ def candidate_pairs(
 ) -> DataFrame:
     """``(document_id, i, j, score, candidate_rank, cross_refs, cos, a, b)``.
 
-    ``features`` from ``clause_features`` with ``vec``, any subset of the clauses of a
-    document: they are numbered here, in order of ``clause_index``, so gaps do not matter.
-    ``a`` and ``b`` are the narrow features of the two clauses, so the rules need no join
-    back.  A cut that is ``None`` is not made.
+    ``features`` from ``clause_features`` with ``vec``, any subset of the clauses of a document;
+    gaps in ``clause_index`` do not matter.  ``a`` and ``b`` are the narrow features of the two
+    clauses, so the rules need no join back.  A cut that is ``None`` is not made.
     """
     per_clause, per_document = (c or (1 << 30) for c in (per_clause, per_document))
-    names = ("cat", "friends", "kw", "flags", "refs", "sec", "section_title", "index", "clauses")
-    of_document = Window.partitionBy("document_id")
-    numbered = features.withColumns({"index": F.col("clause_index"), "clauses": F.count("*").over(of_document)}).withColumn(
-        "clause_index", F.row_number().over(of_document.orderBy("index"))
-    )
-    packed = stage(V.index_blocks(numbered, *names, size=block))
-    owners = section_owners(
-        packed.select("document_id", F.inline("rows")).withColumnRenamed("i", "clause_index")
-    ).groupBy(
-        "document_id", F.floor((F.col("clause_index") - 1) / block).cast("int").alias("block")
-    ).agg(F.map_from_entries(F.collect_list(F.struct("clause_index", "sec"))).alias("owners"))
-    packed = packed.join(owners, ["document_id", "block"], "left")
-    packed = packed.withColumn("rows", F.transform("rows", lambda r: F.struct(
-        *[r[f].alias(f) for f in ("i",) + names if f != "sec"],
-        F.get(F.array(F.col("owners")), F.lit(0))[r["i"]].alias("own"),
-    ))).drop("owners")
-
-    # Blocks against themselves.  A document of one block gets its final cut in place.
-    alone = F.col("rows")[0]["clauses"] <= block
-    within = packed.withColumn("sims", V.block_similarity(F.col("flat"), F.col("flat"), F.col("dim"))).select(
-        "document_id", alone.alias("alone"),
-        _best_partners("rows", "(rows[0].clauses <= 5)", True, threshold, per_clause).alias("pairs"),
-    ).select("document_id", F.inline(F.when(
-        F.col("alone"), F.slice(F.array_sort("pairs"), 1, per_document)
-    ).otherwise(F.col("pairs"))))
-    # Every later block meets all earlier ones; the keys spread that work.
-    later = packed.where("block > 0").select(
-        "document_id", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("block"),
-        F.col("rows").alias("right_rows"), F.col("flat").alias("right_flat"),
-    )
-    across = packed.join(later, ["document_id", "block"]).withColumn(
-        "sims", V.block_similarity(F.col("flat"), F.col("right_flat"), F.col("dim"))
-    ).select("document_id", F.inline(_best_partners("right_rows", "(rows[0].clauses <= 5)", False, threshold, per_clause)))
-    # Partial rankings merge exactly: both cuts are row limits per group, taken before
-    # and after the exchange, so no group travels or gathers whole.
-    by_clause = Window.partitionBy("document_id", "i").orderBy("minus", "j")
-    by_document = Window.partitionBy("document_id").orderBy("minus", "i", "j")
-    ranked = within.unionByName(across).withColumn("n", F.row_number().over(by_clause)).where(
-        F.col("n") <= per_clause
-    ).withColumn("candidate_rank", F.row_number().over(by_document)).where(
-        F.col("candidate_rank") <= per_document
-    )
-    return ranked.select(
-        "document_id", F.col("a.index").alias("i"), F.col("b.index").alias("j"), (-F.col("minus")).alias("score"), "candidate_rank", "cross_refs", "cos", "a", "b"
-    )
+    short, long = P.packed_blocks(features, block)
+    pairs = P.short_pairs(short, _BIT, threshold, per_clause, per_document)
+    if long is not None:
+        pairs = pairs.unionByName(P.long_pairs(long, _BIT, threshold, per_clause, per_document))
+    return pairs.select("document_id", "i", "j", (-F.col("minus")).alias("score"), "candidate_rank", "cross_refs", "cos", "a", "b")
 
 
 def candidate_reasons(pairs: DataFrame, threshold: float = rules.SEMANTIC_PAIR_THRESHOLD) -> DataFrame:

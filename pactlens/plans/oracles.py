@@ -523,6 +523,16 @@ PARTS["relationships"] = f"""
            type AS relationship_type, confidence, {_RATIONALE} AS rationale, trigger, s_loc, t_loc, rank, s_text, t_text
     FROM (SELECT *, {_TRIGGER} AS trigger FROM described)"""
 
+# The same steps over chosen clauses, whose indexes have gaps: names with the prefix ``chosen_``.
+_CHAIN = [
+    "clauses", "features", "owners", "owned", "sizes", "signals", "pair_scores", "clause_cut", "pairs", "narrow", "ways", "directed", "tensions",
+    "edges", "strongest", "described", "relationships",
+]
+_STEPS = {p: PARTS[p] for p in _CHAIN[1:]}
+PARTS["chosen_clauses"] = "SELECT * FROM clauses WHERE primary_category <> 'General'"
+for _name, _text in _STEPS.items():
+    PARTS[f"chosen_{_name}"] = re.sub(rf"\b(FROM|JOIN) ({'|'.join(_CHAIN)})\b", r"\1 chosen_\2", _text)
+
 
 def sql(final: str) -> str:
     """``final`` with every step it needs, in the order in which ``PARTS`` defines them."""

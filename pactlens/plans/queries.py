@@ -550,6 +550,34 @@ def _(spark, d):
     return _pairs(spark, d).select("document_id", "i", "j", relate.has_affinity(F.col("a"), F.col("b")).alias("near"))
 
 
+def _chosen(spark, d) -> DataFrame:
+    """The clauses of a request that leaves the general ones out: their indexes have gaps."""
+    return _clauses(spark, d).where(F.col("primary_category") != rules.GENERAL)
+
+
+def _chosen_features(spark, d) -> DataFrame:
+    return relate.clause_features(_chosen(spark, d).withColumn("vec", V.encode(F.col("text"))))
+
+
+@register("x5_gapped_pairs", "SELECT document_id, i, j, round(score, 6) AS score FROM chosen_clause_cut")
+def _(spark, d):
+    pairs = relate.candidate_pairs(_chosen_features(spark, d), per_document=None)
+    return pairs.select("document_id", "i", "j", F.round("score", 6).alias("score"))
+
+
+@register("x16_gapped_pairs", "SELECT document_id, i, j, round(score, 6) AS score, candidate_rank FROM chosen_pairs")
+def _(spark, d):
+    # Ranges of six indexes hold few of the chosen clauses each and are joined to blocks.
+    pairs = relate.candidate_pairs(_chosen_features(spark, d), block=6)
+    return pairs.select("document_id", "i", "j", F.round("score", 6).alias("score"), "candidate_rank")
+
+
+@register("x17_gapped_affinity", "SELECT document_id, i, j, near FROM chosen_ways WHERE NOT reverse")
+def _(spark, d):
+    pairs = relate.candidate_pairs(_chosen_features(spark, d))
+    return pairs.select("document_id", "i", "j", relate.has_affinity(F.col("a"), F.col("b")).alias("near"))
+
+
 def _typed(name: str, type_: str):
     @register(name, f"SELECT relationship_id, source_clause_id, target_clause_id, confidence, trigger FROM relationships WHERE relationship_type = {lit(type_)}")
     def _(spark, d):
@@ -602,6 +630,12 @@ def _(spark, d):
     return relate.run_metadata(_pairs(spark, d))
 
 
+@register("x33_chosen_clauses", "SELECT relationship_id, document_id, source_clause_id, target_clause_id, relationship_type, confidence, rank FROM chosen_relationships")
+def _(spark, d):
+    return relate.detect_relationships(_chosen(spark, d)).select(
+        "relationship_id", "document_id", "source_clause_id", "target_clause_id", "relationship_type", "confidence", "rank")
+
+
 @register("x33_request_limits", """
     SELECT query_id, CASE WHEN (conv_id + turn) * 9 NOT BETWEEN 1 AND 500 THEN 'max_relationships out of range' WHEN turn / 5.0 NOT BETWEEN 0 AND 1 THEN 'min_confidence out of range' END AS reject_reason FROM questions""")
 def _(spark, d):
