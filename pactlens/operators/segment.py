@@ -349,6 +349,29 @@ def segment(documents: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     )
 
 
+def page_of(ranges: Column, offset: Column) -> Column:
+    """The page whose range holds an offset, null if none does.
+
+    ``ranges`` (char_start, char_end, page_number) in order of their starts; they do not overlap, so
+    it is the last one that starts at or before the offset, which halving finds.
+    """
+    halvings = F.sequence(F.lit(1), F.ceil(F.log2(F.size(ranges) + 1)).cast("int"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"] + 1) / 2).cast("int")
+        before = F.get(ranges, middle)["char_start"] <= offset
+        done = at["low"] >= at["high"]
+        return F.struct(
+            F.when(~done & before, middle).otherwise(at["low"]).alias("low"),
+            F.when(~done & ~before, middle - 1).otherwise(at["high"]).alias("high"),
+        )
+
+    start = F.struct(F.lit(0).alias("low"), (F.size(ranges) - 1).alias("high"))
+    last = F.aggregate(halvings, start, halve, lambda at: F.get(ranges, at["low"]))
+    found = T.let(last, lambda r: F.when((r["char_start"] <= offset) & (offset <= r["char_end"]), r["page_number"]))
+    return F.when(F.size(ranges) > 0, found)
+
+
 def _with_pages(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
     no_page = F.lit(None).cast("int")
     if pages is None:
@@ -358,14 +381,10 @@ def _with_pages(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
             "start_char", "end_char", "source_type",
         ))
     ranges = pages.groupBy("document_id").agg(
-        F.collect_list(F.struct("page_number", "char_start", "char_end")).alias("ranges")
+        F.array_sort(F.collect_list(F.struct("char_start", "char_end", "page_number"))).alias("ranges")
     )
     rows = rows.join(ranges, "document_id", "left")
-
-    def page_at(offset: Column) -> Column:
-        inside = F.filter("ranges", lambda r: (r["char_start"] <= offset) & (offset <= r["char_end"]))
-        return F.coalesce(F.array_max(F.transform(inside, lambda r: r["page_number"])), F.lit(1))
-
+    page_at = lambda offset: F.coalesce(page_of(F.col("ranges"), offset), F.lit(1))
     paged, found = F.col("source_type") == "pdf", F.col("found")
     return rows.withColumn("source_location", F.struct(
         F.when(paged & found, page_at(F.col("start_char"))).when(paged, 1).otherwise(no_page).alias("page_number"),

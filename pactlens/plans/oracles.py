@@ -253,19 +253,19 @@ PARTS["segments"] = """
                 UNION ALL SELECT document_id, pos, 0, section_title, text FROM paragraphs
                           WHERE document_id NOT IN (SELECT document_id FROM blocks)))"""
 PARTS["located"] = f"""
-    SELECT s.document_id, s.clause_id, s.clause_index, s.section_title, s.text, spot.a::INT AS start_char, spot.b::INT AS end_char
+    SELECT s.document_id, s.clause_id, s.clause_index, s.section_title, s.text, spot.a::INT AS start_char, spot.b::INT AS end_char, spot.f AS found
     FROM (SELECT document_id, unnest(spots) AS spot, generate_subscripts(spots, 1) AS n
           FROM (SELECT document_id, list_reduce(
-                    list_prepend({{'p': '', 'len': 0, 'hint': 0, 'spots': []::STRUCT(a BIGINT, b BIGINT)[]}}, probes),
+                    list_prepend({{'p': '', 'len': 0, 'hint': 0, 'spots': []::STRUCT(a BIGINT, b BIGINT, f BOOLEAN)[]}}, probes),
                     lambda z, x: CASE
                         WHEN instr(substr(raw_text, z.hint + 1), x.p) > 0
                         THEN {{'p': '', 'len': 0, 'hint': z.hint + instr(substr(raw_text, z.hint + 1), x.p) - 1 + x.len,
-                               'spots': list_append(z.spots, {{'a': z.hint + instr(substr(raw_text, z.hint + 1), x.p) - 1, 'b': z.hint + instr(substr(raw_text, z.hint + 1), x.p) - 1 + x.len}})}}
+                               'spots': list_append(z.spots, {{'a': z.hint + instr(substr(raw_text, z.hint + 1), x.p) - 1, 'b': z.hint + instr(substr(raw_text, z.hint + 1), x.p) - 1 + x.len, 'f': true}})}}
                         WHEN instr(raw_text, x.p) > 0
                         THEN {{'p': '', 'len': 0, 'hint': instr(raw_text, x.p) - 1 + x.len,
-                               'spots': list_append(z.spots, {{'a': instr(raw_text, x.p) - 1, 'b': instr(raw_text, x.p) - 1 + x.len}})}}
-                        ELSE {{'p': '', 'len': 0, 'hint': z.hint + x.len, 'spots': list_append(z.spots, {{'a': z.hint, 'b': z.hint + x.len}})}} END).spots AS spots
-                FROM (SELECT document_id, list({{'p': {strip('left(text, 40)')}, 'len': length(text), 'hint': 0::BIGINT, 'spots': []::STRUCT(a BIGINT, b BIGINT)[]}} ORDER BY clause_index) AS probes
+                               'spots': list_append(z.spots, {{'a': instr(raw_text, x.p) - 1, 'b': instr(raw_text, x.p) - 1 + x.len, 'f': true}})}}
+                        ELSE {{'p': '', 'len': 0, 'hint': z.hint + x.len, 'spots': list_append(z.spots, {{'a': z.hint, 'b': z.hint + x.len, 'f': false}})}} END).spots AS spots
+                FROM (SELECT document_id, list({{'p': {strip('left(text, 40)')}, 'len': length(text), 'hint': 0::BIGINT, 'spots': []::STRUCT(a BIGINT, b BIGINT, f BOOLEAN)[]}} ORDER BY clause_index) AS probes
                       FROM segments GROUP BY 1) JOIN clean_docs USING (document_id))) f
     JOIN segments s ON s.document_id = f.document_id AND s.clause_index = f.n"""
 
@@ -523,15 +523,35 @@ PARTS["relationships"] = f"""
            type AS relationship_type, confidence, {_RATIONALE} AS rationale, trigger, s_loc, t_loc, rank, s_text, t_text
     FROM (SELECT *, {_TRIGGER} AS trigger FROM described)"""
 
+def _again(prefix: str, steps: list[str], sources: list[str]) -> None:
+    """The same steps over other sources, all under names with a prefix."""
+    names = "|".join(sources + steps)
+    for name in steps:
+        PARTS[prefix + name] = re.sub(rf"\b(FROM|JOIN) ({names})\b", rf"\1 {prefix}\2", PARTS[name])
+
+
+# Paged documents: their pages in order are the raw text, the pages without running lines the cleaned one.
+PARTS["page_ranges"] = """
+    SELECT document_id, page_number, text, (e - length(text))::INT AS char_start, e::INT AS char_end
+    FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY page_number) - 1 AS e FROM raw_pages)"""
+PARTS["paged_clean_docs"] = f"""
+    SELECT document_id, raw_text, {clean_space(clean_hyphens(clean_encoding('t')))} AS cleaned_text
+    FROM (SELECT document_id, string_agg(text, chr(10) ORDER BY page_number) AS raw_text FROM raw_pages GROUP BY 1)
+    JOIN (SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS t FROM cut_pages GROUP BY 1) USING (document_id)"""
+_again("paged_", ["doc_lines", "kinds", "prefixed", "resolved", "carried", "blocks", "chunks", "paragraphs", "segments", "located"], ["clean_docs"])
+PARTS["on_pages"] = """
+    SELECT l.clause_id, l.start_char, l.end_char, l.found,
+           coalesce(max(p.page_number) FILTER (WHERE l.found AND l.start_char BETWEEN p.char_start AND p.char_end), 1) AS first_page,
+           coalesce(max(p.page_number) FILTER (WHERE l.found AND l.end_char BETWEEN p.char_start AND p.char_end), 1) AS last_page
+    FROM paged_located l JOIN page_ranges p USING (document_id) GROUP BY ALL"""
+
 # The same steps over chosen clauses, whose indexes have gaps: names with the prefix ``chosen_``.
 _CHAIN = [
-    "clauses", "features", "owners", "owned", "sizes", "signals", "pair_scores", "clause_cut", "pairs", "narrow", "ways", "directed", "tensions",
+    "features", "owners", "owned", "sizes", "signals", "pair_scores", "clause_cut", "pairs", "narrow", "ways", "directed", "tensions",
     "edges", "strongest", "described", "relationships",
 ]
-_STEPS = {p: PARTS[p] for p in _CHAIN[1:]}
 PARTS["chosen_clauses"] = "SELECT * FROM clauses WHERE primary_category <> 'General'"
-for _name, _text in _STEPS.items():
-    PARTS[f"chosen_{_name}"] = re.sub(rf"\b(FROM|JOIN) ({'|'.join(_CHAIN)})\b", r"\1 chosen_\2", _text)
+_again("chosen_", _CHAIN, ["clauses"])
 
 
 def sql(final: str) -> str:

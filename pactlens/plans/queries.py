@@ -20,6 +20,7 @@ from pactlens.plans import corpus, oracles
 from pactlens.plans.ingest import ingest
 from pactlens.plans.oracles import lit, match, strip, words
 from pactlens.sources import documents as sources
+from pactlens.sources.store import DocumentStore
 from pactlens.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,11 +155,16 @@ def _(spark, d):
 @register("s6_document_store", """
     SELECT document_id, CASE WHEN doc_id % 3 = 0 THEN md5(raw_text || ' v2') ELSE md5(raw_text) END AS raw_md5, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM raw_docs""")
 def _(spark, d):
-    store = sources.DocumentStore(spark, scratch_folder(spark))
+    # Three overlapping batches, one of them sent twice, and a new base in between.
+    store = DocumentStore(spark, scratch_folder(spark))
     docs = corpus.raw_documents(spark, d).select("document_id", "raw_text")
+    number = F.regexp_extract("document_id", r"(\d+)", 1).cast("long")
+    marked = lambda mark: F.concat("raw_text", F.lit(mark))
+    store.save(docs.where(number % 3 != 1).withColumn("raw_text", F.when(number % 2 == 0, marked(" v0")).otherwise(F.col("raw_text"))), 0)
     store.save(docs, 1)
-    again = F.regexp_extract("document_id", r"(\d+)", 1).cast("long") % 3 == 0
-    store.save(docs.where(again).withColumn("raw_text", F.concat("raw_text", F.lit(" v2"))), 2)
+    store.compact()
+    for _again in range(2):
+        store.save(docs.where(number % 3 == 0).withColumn("raw_text", marked(" v2")), 2)
     return store.list().select("document_id", F.md5("raw_text").alias("raw_md5"), "version")
 
 
@@ -181,11 +187,30 @@ def ingest_documents(spark, d):
 
 @register("s8_arrivals", _INGESTED)
 def _(spark, d):
+    return _ingested(arrivals.read_clauses(spark, _arrived(spark, d)))
+
+
+def _arrived(spark, d) -> str:
+    """All documents arrive, some with an older text; then those again, twice in one batch, with rejects between them."""
     folder = scratch_folder(spark)
-    corpus.raw_documents(spark, d).write.parquet(f"{folder}/in")
-    query = arrivals.ingest_stream(arrivals.arriving_texts(spark, f"{folder}/in", 2), f"{folder}/out", f"{folder}/log")
+    docs = corpus.raw_documents(spark, d).withColumn("number", F.regexp_extract("document_id", r"(\d+)", 1).cast("long")).repartition(4)
+    old, late, text = F.concat("raw_text", F.lit(" Old words.")), F.col("number") % 3 == 0, F.col("raw_text")
+    docs.withColumn("raw_text", F.when(late, old).otherwise(text)).drop("number").write.parquet(f"{folder}/in/1")
+    sent = F.filter(F.array(
+        F.when(late, old), F.when(F.col("number") % 10 == 0, "   "), F.when(late, text), F.when(F.col("number") % 10 == 1, F.left("raw_text", F.lit(7)))
+    ), lambda t: t.isNotNull())
+    docs.select("document_id", "title", F.explode(sent).alias("raw_text")).write.parquet(f"{folder}/in/2")
+    query = arrivals.ingest_stream(arrivals.arriving_texts(spark, f"{folder}/in/*", 4), f"{folder}/out", f"{folder}/log")
     query.awaitTermination()
-    return _ingested(arrivals.read_clauses(spark, f"{folder}/out"))
+    return f"{folder}/out"
+
+
+@register("s8_quarantine", f"""
+    SELECT document_id, CASE doc_id % 10 WHEN 0 THEN {lit(sources.NO_TEXT)} ELSE {lit(sources.TOO_SHORT)} END AS reject_reason
+    FROM raw_docs WHERE doc_id % 10 < 2 AND (doc_id % 10 = 0 OR trim(left(raw_text, 7)) <> '') UNION ALL
+    SELECT document_id, {lit(sources.NO_TEXT)} FROM raw_docs WHERE doc_id % 10 = 1 AND trim(left(raw_text, 7)) = ''""")
+def _(spark, d):
+    return arrivals.read_rejects(spark, _arrived(spark, d)).select("document_id", "reject_reason")
 
 
 @register("s9_result_sink", """
@@ -287,7 +312,9 @@ def _(spark, d):
     return segment.segment(_documents(spark, d)).select("clause_id", "source_location.start_char", "source_location.end_char")
 
 
-@register("g11_page_location")
+@register("g11_page_location", """
+    SELECT clause_id, CASE WHEN found AND last_page <> first_page THEN printf('Pages %d-%d', first_page, last_page) ELSE printf('Page %d', first_page) END
+           || printf(' (chars %d-%d)', start_char, end_char) AS location FROM on_pages""")
 def _(spark, d):
     paged = corpus.raw_pages(spark, d)
     found = segment.segment(sources.from_pages(paged), sources.page_ranges(paged))

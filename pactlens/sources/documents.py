@@ -1,10 +1,9 @@
-"""Document sources, validity, metadata and the document store."""
+"""Document sources, validity, metadata, labels and sinks (S1-S5, S9); the store is in ``store``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as t
 
 from pactlens.functions import text as T
 from pactlens.operators.pages import remove_running_lines
@@ -115,72 +114,29 @@ def with_metadata(documents: DataFrame) -> DataFrame:
 
 # -- labelled data (S5) ---------------------------------------------------------------
 
-_TEXTS = t.ArrayType(t.StringType())
-
-
-def _fields(texts: str, lists: str = "", flags: str = "", ints: str = "") -> t.StructType:
-    kinds = [(texts, t.StringType()), (lists, _TEXTS), (flags, t.BooleanType()), (ints, t.IntegerType())]
-    return t.StructType([t.StructField(n, k) for names, k in kinds for n in names.split()])
-
-
+# The fields of the label files.
 LABEL_SCHEMAS = {
-    "clauses": _fields(
-        "document_id clause_id section_title text expected_primary_category expected_attention_level source rationale",
-        "expected_secondary_categories", "", "clause_index"),
-    "relationships": _fields(
-        "document_id source_clause_id target_clause_id expected_relationship_type source rationale"),
-    "queries": _fields("query document_id rationale", "relevant_clause_ids"),
-    "questions": _fields(
-        "question_id document_id question category ground_truth_notes",
-        "expected_source_clause_ids required_facts forbidden_claims", "expected_answerable"),
+    "clauses": "document_id string, clause_id string, clause_index int, section_title string, text string, expected_primary_category string, "
+    "expected_secondary_categories array<string>, expected_attention_level string, source string, rationale string",
+    "relationships": "document_id string, source_clause_id string, target_clause_id string, expected_relationship_type string, source string, rationale string",
+    "queries": "query string, document_id string, relevant_clause_ids array<string>, rationale string",
+    "questions": "question_id string, document_id string, question string, category string, expected_answerable boolean, "
+    "expected_source_clause_ids array<string>, required_facts array<string>, forbidden_claims array<string>, ground_truth_notes string",
 }
 
 
 def read_labels(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """The rows of one list (``kind``) of nested JSON label files."""
-    schema = t.StructType([t.StructField(kind, t.ArrayType(LABEL_SCHEMAS[kind]))])
-    return spark.read.json(path, schema=schema, multiLine=True).select(F.inline(kind))
-
-
-# -- document store (S6) --------------------------------------------------------------
-
-BUCKETS = 64
-
-
-def latest(versions: DataFrame, order: str) -> DataFrame:
-    """The last version of every document; versions reduce before they are shuffled."""
-    rest = [c for c in versions.columns if c not in ("document_id", order)]
-    return versions.groupBy("document_id").agg(
-        F.max_by(F.struct(*rest), order).alias("_row"), F.max(order).alias(order)
-    ).select("document_id", "_row.*", order)
-
-
-def _bucket(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
-
-
-class DocumentStore:
-    """Documents under a shared path; a save appends, a read takes the last version."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    return spark.read.json(path, schema=f"{kind} array<struct<{LABEL_SCHEMAS[kind]}>>", multiLine=True).select(F.inline(kind))
 
-    def save(self, documents: DataFrame, version: int) -> None:
-        documents.withColumns({
-            "version": F.lit(version).cast("long"), "bucket": _bucket(F.col("document_id"))
-        }).write.mode("append").partitionBy("bucket").parquet(self.path)
 
-    def _versions(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+# -- sinks (S9) and layout ------------------------------------------------------------
 
-    def list(self) -> DataFrame:
-        return latest(self._versions().drop("bucket"), "version")
 
-    def get(self, document_id: str) -> DataFrame:
-        """One document; the bucket prunes the files that are read."""
-        bucket = self.spark.range(1).select(_bucket(F.lit(document_id))).first()[0]
-        rows = self._versions().where((F.col("bucket") == bucket) & (F.col("document_id") == document_id))
-        return latest(rows.drop("bucket"), "version")
+def write_bucketed(rows: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> None:
+    """Documents or clauses as a table bucketed and sorted by ``document_id``: ingest and search read it without an exchange."""
+    writer = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "document_id").sortBy("document_id")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from pactlens.functions import text as T
 from pactlens.operators import pages, segment
 from pactlens.sources import documents as sources
+from pactlens.sources.store import DocumentStore
 
 
 def one(spark, value, column):
@@ -121,7 +122,7 @@ def test_files_labels_and_store(spark, tmp_path):
     assert (row["document_id"], row["title"], row["raw_text"]) == ("terms", "terms.txt", "Line one.\nLine two.")
     (tmp_path / "labels.json").write_text('{"note": 1, "queries": [\n {"query": "q", "document_id": "d", "relevant_clause_ids": ["x", "y"]}]}')
     assert sources.read_labels(spark, str(tmp_path / "labels.json"), "queries").first()["relevant_clause_ids"] == ["x", "y"]
-    store = sources.DocumentStore(spark, str(tmp_path / "store"))
+    store = DocumentStore(spark, str(tmp_path / "store"))
     store.save(spark.createDataFrame([("a", "1"), ("b", "1")], "document_id string, raw_text string"), 1)
     store.save(spark.createDataFrame([("a", "2")], "document_id string, raw_text string"), 2)
     assert {r["document_id"]: r["raw_text"] for r in store.list().collect()} == {"a": "2", "b": "1"}
