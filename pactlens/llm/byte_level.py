@@ -2,7 +2,8 @@
 
 The pre-tokenizer never joins what stands before and after a space that a non-space
 follows, so the ids of a text are those of its space-led chunks in order.  Every distinct
-chunk is encoded by the library once per worker and kept; the cache is emptied when full.
+chunk is encoded by the library once per worker and kept; the cache is emptied when it holds
+its budget of bytes, and long chunks (texts without spaces) are not kept.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE_BEFORE_WORD = re.compile(r" (?=\w)")
-KEPT_CHUNKS = 700_000
+#: Bytes that a cache of chunks may hold, those of one entry besides its letters and ids, and the longest chunk kept.
+KEPT_BYTES, ENTRY_BYTES, KEPT_LETTERS = 48 << 20, 170, 64
 
 
 class _Irregular(Exception):
@@ -28,14 +30,18 @@ class _Chunks(dict):
 
     def __init__(self, encode, lead: str):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.held = encode, lead, 0
 
     def __missing__(self, chunk: str) -> bytes:
         if self.lead and (not chunk or chunk[0].isspace()):
             raise _Irregular
-        if len(self) >= KEPT_CHUNKS:
-            self.clear()
-        ids = self[chunk] = self.encode(self.lead, chunk)
+        ids = self.encode(self.lead, chunk)
+        if len(chunk) <= KEPT_LETTERS:
+            self.held += ENTRY_BYTES + 4 * len(chunk) + len(ids)
+            if self.held > KEPT_BYTES:
+                self.clear()
+                self.held = 0
+            self[chunk] = ids
         return ids
 
 

@@ -65,7 +65,9 @@ def encode_shard(ids: np.ndarray) -> bytes:
     blocks = -(-n // block)
     padded = np.full(blocks * block, np.argmax(freq), np.uint32)
     padded[:n] = rank
+    del rank
     rows = np.ascontiguousarray(padded.reshape(blocks, steps, LANES).transpose(1, 0, 2))
+    del padded
     f64, c64 = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
     up, top, word = np.uint64(bits), np.uint64(63 - bits), np.uint64(32)
     x = np.full((blocks, LANES), LOWEST, np.uint64)
@@ -82,8 +84,10 @@ def encode_shard(ids: np.ndarray) -> bytes:
         x = (q << up) + (x - q * f) + c64[rows[t]]
         if t % apart == 0:
             states[t // apart] = x
+    del rows
     by_block = np.ascontiguousarray(given.transpose(1, 0, 2))
     stream = words.transpose(1, 0, 2)[by_block]
+    del words, given
     per_segment = by_block.reshape(blocks, SEGMENTS, -1).sum(axis=2)
     starts = (np.cumsum(per_segment, axis=1) - per_segment).astype("<u4")
     ends = np.cumsum(per_segment.sum(axis=1))
