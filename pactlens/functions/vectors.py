@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIM = 64
 DECIMALS = 9  # equal texts must tie exactly, whatever the shape of a block product
-SLICE = 64  # rows of block products that are handed back at once
 BLOCK = 256  # clauses of one document that are compared as one block
 
 
@@ -100,24 +98,19 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(other, norms, 1.0)[:, None]
 
 
-def block_similarity(left: Column, right: Column, dim: Column) -> Column:
-    """Cosines of every row of one flattened block and every row of another.
+def ball(flat: Column, dim: Column) -> Column:
+    """The mean of the unit vectors of a block and, last, the radius around it that holds them all."""
 
-    A row yields at most ``BLOCK`` x ``BLOCK`` numbers.  The results are handed back a
-    few rows at a time, so a batch of full blocks never stands in memory as a whole.
-    """
-
-    @F.pandas_udf("array<array<double>>")
-    def multiply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b, d in batches:
-            for start in range(0, len(a), SLICE):
-                out = []
-                for x, y, n in zip(a[start:start + SLICE], b[start:start + SLICE], d[start:start + SLICE]):
-                    x, y = (_unit(np.asarray(v, dtype=np.float64).reshape(-1, n)) for v in (x, y))
-                    out.append(list(np.round(x @ y.T, DECIMALS)))
-                yield pd.Series(out, dtype=object)
-
-    return multiply(left, right, dim)
+    @F.pandas_udf("array<double>")
+    def around(flats: pd.Series, dims: pd.Series) -> pd.Series:
+        out = []
+        for v, d in zip(flats, dims):
+            rows = _unit(np.asarray(v, dtype=np.float64).reshape(-1, int(d)))
+            centre = rows.mean(axis=0)
+            out.append(np.append(centre, np.sqrt(((rows - centre) ** 2).sum(axis=1).max())))
+        return pd.Series(out, dtype=object)
+
+    return around(flat, dim)
 
 
 def index_blocks(clauses: DataFrame, *features: str, size: int = BLOCK) -> DataFrame:

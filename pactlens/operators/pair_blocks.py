@@ -191,28 +191,13 @@ def _unpacked(found: str, left: str, right: str) -> Column:
 # -- bounds ---------------------------------------------------------------------------
 
 
-def _ball(flat: Column, dim: Column) -> Column:
-    """The mean of the unit vectors of a block and, last, the radius around it that holds them all."""
-
-    @F.pandas_udf("array<double>")
-    def ball(flats: pd.Series, dims: pd.Series) -> pd.Series:
-        out = []
-        for v, d in zip(flats, dims):
-            rows = V._unit(np.asarray(v, dtype=np.float64).reshape(-1, int(d)))
-            centre = rows.mean(axis=0)
-            out.append(np.append(centre, np.sqrt(((rows - centre) ** 2).sum(axis=1).max())))
-        return pd.Series(out, dtype=object)
-
-    return ball(flat, dim)
-
-
 def _postings(blocks: DataFrame) -> DataFrame:
     """Per block its postings (the different sets of category, keywords and patterns), sections, references, and the ball of its vectors."""
     kinds = F.array_distinct(F.transform("rows", lambda r: F.struct(r["cat"].alias("cat"), r["kw"].alias("kw"), r["flags"].alias("flags"))))
     return blocks.select(
         "document_id", "block", kinds.alias("kinds"),
         F.array_distinct(F.flatten(F.transform("rows", lambda r: r["refs"]))).alias("refs"),
-        F.filter(F.transform("rows", lambda r: r["sec"]), lambda s: s.isNotNull()).alias("secs"), _ball(F.col("flat"), F.col("dim")).alias("ball"),
+        F.filter(F.transform("rows", lambda r: r["sec"]), lambda s: s.isNotNull()).alias("secs"), V.ball(F.col("flat"), F.col("dim")).alias("ball"),
     ).select("document_id", "block", *[F.col(f"kinds.{f}").alias(f"{f}s") for f in ("cat", "kw", "flags")], "refs", "secs", "ball")
 
 

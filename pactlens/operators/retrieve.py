@@ -1,18 +1,34 @@
 """Clause retrieval for a table of queries.
 
-The index is the table of clause blocks (``vectors.index_blocks``).  Every query meets
-the blocks of its own document only, each block answers with its best few clauses, and
-only those narrow rows are shuffled and ranked.  No row is made per (query, clause).
+The index is the table of clause blocks (``vectors.index_blocks``).  A query meets blocks of
+its own document only: first the two whose ball of vectors lets hope for most, then those
+that could still hold a better clause than the last one wanted.  The queries that meet a
+block are one matrix, so a block is multiplied once for up to some hundred of them, and only
+the best few clauses of each leave it.  No row is made per (query, clause).
 """
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlens import rules
 from pactlens.functions import text as T
 from pactlens.functions import vectors as V
+from pactlens.functions.staging import stage
+
+# Ship the numpy helpers with the task, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Queries of one document that meet a block as one matrix, about; chunks of them that share a copy of the block.
+CHUNK, SHARED = 256, 16
+#: Blocks that a query meets before any is left out.
+FIRST_BLOCKS = 2
 
 
 def query_tokens(query: Column) -> Column:
@@ -60,26 +76,93 @@ def _candidate_count() -> Column:
     return F.greatest(F.col("top_k") * 4, F.lit(15))
 
 
+def _best_of_block(queries: Column, wanted: Column, flat: Column, dim: Column) -> Column:
+    """The best clauses of a block for each of the queries that meet it: (query, clause, score) by places, flattened."""
+
+    @F.pandas_udf("array<double>")
+    def best(vectors: pd.Series, counts: pd.Series, flats: pd.Series, dims: pd.Series) -> pd.Series:
+        out = []
+        for q, k, v, d in zip(vectors, counts, flats, dims):
+            matrix = lambda x: V._unit(np.asarray(x, dtype=np.float64).reshape(-1, int(d)))
+            scores = np.round(matrix(np.concatenate(list(q))) @ matrix(v).T, V.DECIMALS)
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :int(max(k))]
+            rows = np.repeat(np.arange(len(order)), order.shape[1])
+            stay = np.tile(np.arange(order.shape[1]), len(order)) < np.repeat(np.asarray(k), order.shape[1])
+            rows, columns = rows[stay], order.ravel()[stay]
+            out.append(np.column_stack([rows, columns, scores[rows, columns]]).ravel())
+        return pd.Series(out, dtype=object)
+
+    return best.asNondeterministic()(queries, wanted, flat, dim)
+
+
+def _meet(queries: DataFrame, meetings: DataFrame | None, blocks: DataFrame) -> DataFrame:
+    """(query_id, document_id, top_k, base_score, clause_index): the best clauses of the blocks that each query meets.
+
+    ``queries`` with ``chunk`` and ``chunks``; ``meetings(query_id, document_id, block)``, or ``None`` for
+    all blocks of the document.
+    """
+    met = queries.withColumn("copy", F.floor(F.col("chunk") / SHARED).cast("int"))
+    keys = ["document_id", "copy", "chunk"]
+    if meetings is not None:
+        met = met.join(meetings, ["query_id", "document_id"])
+        keys.append("block")
+    groups = met.groupBy(*keys).agg(F.collect_list(F.struct("query_id", "top_k", "q", _candidate_count().cast("int").alias("k"))).alias("asked"))
+    copies = queries.groupBy("document_id").agg(F.max("chunks").alias("chunks"))
+    stored = blocks.join(copies, "document_id").withColumn(
+        "copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("chunks") - 1) / SHARED).cast("int")))
+    ).select("document_id", "copy", "block", "rows", "flat", "dim")
+    on = ["document_id", "copy"] + (["block"] if meetings is not None else [])
+    scored = groups.join(stored, on).select(
+        "document_id", "asked", "rows", _best_of_block(F.col("asked.q"), F.col("asked.k"), F.col("flat"), F.col("dim")).alias("found")
+    )
+    hits = scored.select("document_id", F.explode(F.expr("""
+        transform(if(size(found) > 0, sequence(0, size(found) div 3 - 1), array()), n -> struct(
+            asked[int(found[3 * n])] AS asked, rows[int(found[3 * n + 1])].i AS clause_index, found[3 * n + 2] AS base_score))""")).alias("hit"))
+    return hits.select("hit.asked.query_id", "document_id", "hit.asked.top_k", "hit.base_score", "hit.clause_index")
+
+
+def block_bounds(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_id, document_id, block, bound): what no clause of a block can exceed, for every query and block of its document."""
+    balls = blocks.select("document_id", "block", V.ball(F.col("flat"), F.col("dim")).alias("ball"))
+
+    @F.pandas_udf("double")
+    def bound(vectors: pd.Series, holding: pd.Series) -> pd.Series:
+        if len(vectors) == 0:
+            return pd.Series([], dtype=float)
+        q = [V._unit(np.asarray(v, dtype=np.float64)[None])[0] for v in vectors]
+        return pd.Series([v @ b[:-1] + np.linalg.norm(v) * b[-1] + 1e-8 for v, b in zip(q, holding)])
+
+    return queries.select("query_id", "document_id", "q").join(balls, "document_id").select(
+        "query_id", "document_id", "block", bound("q", "ball").alias("bound")
+    )
+
+
+def blocks_to_meet(queries: DataFrame, first: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The blocks that, by their bounds, could hold a clause that belongs to the best ones and has not been met."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("base_score"), "clause_index")
+    last = first.withColumn("n", F.row_number().over(order)).where(F.col("n") == _candidate_count()).select("query_id", F.col("base_score").alias("last"))
+    rest = bounds.where(F.col("place") > FIRST_BLOCKS).join(last, "query_id", "left")
+    return rest.where(F.col("last").isNull() | (F.col("bound") >= F.col("last"))).select("query_id", "document_id", "block")
+
+
 def vector_candidates(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     """The best ``max(4 k, 15)`` clauses of its document for every query.
 
     ``queries(query_id, document_id, vec, top_k)``; ``blocks`` from ``index_blocks``.
     """
-    met = queries.select("query_id", "document_id", F.col("vec").alias("q"), "top_k").join(
-        blocks.select("document_id", "rows", "flat", "dim"), "document_id"
-    )
-    scored = met.withColumn("sims", V.block_similarity(F.col("q"), F.col("flat"), F.col("dim"))[0])
-    best = F.slice(
-        F.array_sort(F.zip_with("sims", "rows", lambda s, r: F.struct((-s).alias("minus"), r["i"].alias("i")))),
-        F.lit(1), _candidate_count(),
-    )
-    rows = scored.select("query_id", "document_id", "top_k", F.inline(best)).select(
-        "query_id", "document_id", "top_k", (-F.col("minus")).alias("base_score"), F.col("i").alias("clause_index")
-    )
+    asked = queries.select("query_id", "document_id", F.col("vec").alias("q"), "top_k")
+    counts = asked.groupBy("document_id").agg((F.floor((F.count("*") - 1) / CHUNK) + 1).alias("chunks"))
+    asked = asked.join(counts, "document_id").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")))
+    blocks = stage(blocks.select("document_id", "block", "rows", "flat", "dim").join(counts.select("document_id"), "document_id", "left_semi"))
     order = Window.partitionBy("query_id").orderBy(F.desc("base_score"), "clause_index")
-    return rows.withColumn("candidate_rank", F.row_number().over(order)).where(
-        F.col("candidate_rank") <= _candidate_count()
-    )
+    if blocks.where("block > 0").isEmpty():
+        rows = _meet(asked, None, blocks)
+    else:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
+        bounds = stage(block_bounds(asked, blocks).withColumn("place", place))
+        first = stage(_meet(asked, bounds.where(F.col("place") <= FIRST_BLOCKS).select("query_id", "document_id", "block"), blocks))
+        rows = first.unionByName(_meet(asked, blocks_to_meet(asked, first, bounds), blocks))
+    return rows.withColumn("candidate_rank", F.row_number().over(order)).where(F.col("candidate_rank") <= _candidate_count())
 
 
 def search(queries: DataFrame, clauses: DataFrame, threshold: float = rules.RETRIEVAL_THRESHOLD) -> DataFrame:
@@ -95,7 +178,7 @@ def search(queries: DataFrame, clauses: DataFrame, threshold: float = rules.RETR
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Category filter after the candidate cut, lexical bonus, final top k."""
+    """Category filter after the candidate cut, lexical bonus, final top k; a clause without title is ``General``."""
     tokens = query_tokens(F.col("query"))
     asked = queries.select("query_id", "query", "categories", "threshold", tokens.alias("tokens"))
     asked = asked.withColumn("synonyms", synonym_tokens(F.col("tokens")))
@@ -111,6 +194,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, clauses: DataFrame) -> Dat
     return (
         rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_k"))
         .withColumn("meets_threshold", F.col("similarity_score") >= F.col("threshold"))
+        .withColumn("section_title", F.coalesce("section_title", F.lit(rules.GENERAL)))
         .drop("tokens", "synonyms", "categories", "query")
     )
 
