@@ -18,7 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE_BEFORE_WORD = re.compile(r" (?=\w)")
 #: Bytes that a cache of chunks may hold, those of one entry besides its letters and ids, and the longest chunk kept.
-KEPT_BYTES, ENTRY_BYTES, KEPT_LETTERS = 48 << 20, 170, 64
+KEPT_BYTES, ENTRY_BYTES, KEPT_LETTERS = 128 << 20, 170, 64
 
 
 class _Irregular(Exception):
