@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlens import rules
+from pactlens.operators.quantiles import with_quantiles
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -263,13 +264,10 @@ def validator_acceptance(verdicts: DataFrame) -> DataFrame:
 
 
 def latency_summary(samples: DataFrame, *keys: str) -> DataFrame:
-    """Mean, median, least, greatest and 95th percentile (interpolated) of ``ms``.
-
-    ``percentile`` is exact; it merges counts per distinct value, not rows.
-    """
-    return samples.groupBy(*keys).agg(
-        F.avg("ms").alias("mean_ms"), F.percentile("ms", 0.5).alias("median_ms"), F.min("ms").alias("min_ms"),
-        F.max("ms").alias("max_ms"), F.percentile("ms", 0.95).alias("p95_ms"),
+    """Mean, median, least, greatest and 95th percentile (interpolated, exact) of ``ms``."""
+    groups = samples.groupBy(*keys).agg(F.avg("ms").alias("mean_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.count("ms").alias("n"))
+    return with_quantiles(groups, samples, list(keys), "ms", {"median_ms": 0.5, "p95_ms": 0.95}).select(
+        *keys, "mean_ms", "median_ms", "min_ms", "max_ms", "p95_ms"
     )
 
 

@@ -499,9 +499,30 @@ def _(spark, d):
 
 
 @register("x1_isolation", """
-    SELECT r.relationship_id, r.document_id FROM relationships r WHERE r.source_clause_id NOT IN (SELECT clause_id FROM clauses c WHERE c.document_id = r.document_id)""")
-def _(spark, d):
-    return relate.isolation_violations(_clauses(spark, d), _relationships(spark, d)).select("relationship_id", "document_id")
+    SELECT relationship_id, document_id, clause_id FROM (
+        SELECT relationship_id, document_id, unnest([CASE WHEN rank % 3 = 1 THEN 'doc_0_clause_001' ELSE source_clause_id END, CASE WHEN rank % 5 = 2 THEN 'none' ELSE target_clause_id END]) AS clause_id
+        FROM relationships) r
+    WHERE NOT EXISTS (SELECT 1 FROM clauses c WHERE c.document_id = r.document_id AND c.clause_id = r.clause_id)""")
+def _(spark, d):
+    # Some ends are led to a clause of another document or to none; the operator has to find exactly those.
+    found = _relationships(spark, d).withColumns({
+        "source_clause_id": F.when(F.col("rank") % 3 == 1, "doc_0_clause_001").otherwise(F.col("source_clause_id")),
+        "target_clause_id": F.when(F.col("rank") % 5 == 2, "none").otherwise(F.col("target_clause_id"))})
+    return relate.isolation_violations(_clauses(spark, d), found).select("relationship_id", "document_id", "clause_id")
+
+
+@register("r1_blocks", """
+    SELECT document_id, block, count(*)::INT AS n, min(clause_index) AS first, max(clause_index) AS last, round(sum(fingerprint), 3) AS fingerprint
+    FROM (SELECT document_id, ((clause_index - 1) // 6)::INT AS block, clause_index, list_sum(list_transform(vec, lambda x, i: x::DOUBLE * i)) * clause_index AS fingerprint
+          FROM clauses JOIN clause_vec USING (clause_id)) GROUP BY 1, 2""")
+def _(spark, d):
+    # The index itself, in blocks of six clauses: what it holds, in which order.
+    dim = F.col("dim")
+    part = lambda r, k: F.aggregate(
+        F.transform(F.slice(F.col("flat"), k * dim + 1, dim), lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x) * r["i"]
+    return V.index_blocks(_encoded(spark, d), size=6).select(
+        "document_id", "block", F.size("rows").alias("n"), F.get("rows", F.lit(0))["i"].alias("first"), F.element_at("rows", -1)["i"].alias("last"),
+        F.round(F.aggregate(F.transform("rows", part), F.lit(0.0), lambda s, x: s + x), 3).alias("fingerprint"))
 
 
 @register("x2_section_index", "SELECT document_id, sec, owner AS clause_index FROM owners")
