@@ -162,6 +162,8 @@ def vector_candidates(queries: DataFrame, blocks: DataFrame) -> DataFrame:
         bounds = stage(block_bounds(asked, blocks).withColumn("place", place))
         first = stage(_meet(asked, bounds.where(F.col("place") <= FIRST_BLOCKS).select("query_id", "document_id", "block"), blocks))
         rows = first.unionByName(_meet(asked, blocks_to_meet(asked, first, bounds), blocks))
+    # Where all queries ask for the same number, it is a constant again here, so that Spark cuts ahead of the exchange.
+    rows = rows.drop("top_k").join(queries.select("query_id", "document_id", "top_k"), ["query_id", "document_id"])
     return rows.withColumn("candidate_rank", F.row_number().over(order)).where(F.col("candidate_rank") <= _candidate_count())
 
 
