@@ -33,7 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
 SPACED = re.compile(r" +[^ ]*")
-KEPT_CHUNKS = 1_500_000
+#: Bytes of the kept chunks, those of one entry besides its letters, and the longest chunk kept.
+KEPT_BYTES, ENTRY_BYTES, KEPT_LETTERS = 128 << 20, 100, 64
 
 
 class PieceCounter(dict):
@@ -43,6 +44,7 @@ class PieceCounter(dict):
         import sentencepiece
 
         super().__init__()
+        self.held = 0
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.proven = self._prove()
 
@@ -64,9 +66,13 @@ class PieceCounter(dict):
         return {w: 1 for w, ids in zip(words, encoded) if [self.model.id_to_piece(i) for i in ids] == [MARK + w]}
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= KEPT_CHUNKS:
-            self.clear()
-        n = self[chunk] = self.proven.get(chunk) or self._merged(chunk)
+        n = self.proven.get(chunk) or self._merged(chunk)
+        if len(chunk) <= KEPT_LETTERS:
+            self.held += ENTRY_BYTES + sys.getsizeof(chunk)
+            if self.held > KEPT_BYTES:
+                self.clear()
+                self.held = 0
+            self[chunk] = n
         return n
 
     def _merged(self, chunk: str) -> int:
