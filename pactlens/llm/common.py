@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +69,25 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of texts for Python hold 8 MB (or one row), unless the session has a bound of its own.
+
+    The usual bound is a number of rows, or 64 MB; a task holds a batch some four times, in both processes.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(8 << 20))
+
+
+def give_back(batches: Iterator) -> Iterator:
+    """The same batches; then the worker, which Spark keeps for other stages, returns its free memory."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library of Linux
+    if trim is not None:
+        trim(0)
+
+
 def worker_cache(name: str, make: Callable[[], object]) -> object:
     """One object per Python worker process, made at first use and kept over tasks.
 

@@ -9,7 +9,10 @@ prediction.
 The tables come from at most about ``TRAIN_ROWS`` whole labelled texts per language, chosen
 by a hash of the row; their counts are summed in Spark, and only the sums (languages x
 buckets) reach the driver.  Long texts are cut into blocks that are solved side by side for
-every state in front of them and then joined, which gives the exact best path.
+every state in front of them and then joined, which gives the exact best path.  Texts longer
+than a chunk go forward piece by piece, keep the path values in front of each piece, and work
+the pieces out again on the way back, so a worker holds one piece however long the text and
+however many languages there are.
 
 Defined cases: null or letterless text is ``und`` with score 0; without any labelled row all
 rows are ``und``; equal scores go to the first language in order; repeated rows get equal
@@ -20,7 +23,8 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -28,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactlens.llm.common import fresh, is_held_out
+from pactlens.llm.common import bound_batches, fresh, give_back, is_held_out
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -36,8 +40,8 @@ TRAIN_ROWS = 1500
 BITS = 16
 PENALTY, WEIGHT = 6.0, 1.0
 BLOCK = 128
-CHUNK_BYTES = 4 << 20
-KEPT_WORDS = 400_000
+#: Words x labels x labels that are solved at once, and words at most; bytes of the scored words that are kept.
+CELLS, PIECE_WORDS, KEPT_BYTES = 1 << 24, 1 << 18, 64 << 20
 WORD = re.compile(r"[^\W\d_]+")
 NONE = "und"
 
@@ -64,6 +68,24 @@ def words_of(text: str) -> list[str]:
     return [w for f in found for w in ([f] if f.isalpha() else "".join(c if c.isalpha() else " " for c in f).split())]
 
 
+def words_from(text: str, at: int) -> Iterator[tuple[int, str]]:
+    """The same words one by one, with their places, from ``at`` on in a text in lower case."""
+    for found in WORD.finditer(text, at):
+        here = found.start()
+        for letters, run in groupby(found.group(), str.isalpha) if not found.group().isalpha() else [(True, found.group())]:
+            word = "".join(run)
+            if letters:
+                yield here, word
+            here += len(word)
+
+
+def pieces_of(text: str, size: int, at: int = 0) -> Iterator[tuple[int, list[str]]]:
+    """The words from ``at`` on in pieces of ``size`` words, each with the place where it starts."""
+    while piece := list(islice(words_from(text, at), size)):
+        yield at, [w for _, w in piece]
+        at = piece[-1][0] + len(piece[-1][1])
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all pairs and triples of letters, the word each belongs to, word scripts."""
     points = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le"), "<u4").astype(np.uint64)
@@ -77,14 +99,14 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (code >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([owner[:-1][two], owner[:-2][three]]), SCRIPT_OF[np.searchsorted(SCRIPT_STARTS, firsts, "right") - 1]
 
 
-def best_path(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
-    """The best label of every word; ``scores`` holds texts of ``sizes`` words one by one.
+def forward(scores: np.ndarray, sizes: np.ndarray, penalty: float, reach: np.ndarray) -> tuple[np.ndarray, Callable]:
+    """The values of the best paths at the end of each text, and the way back.
 
-    A path gains the score of each word's label and loses ``penalty`` at each change of label.
+    ``scores`` holds texts of ``sizes`` words one by one, ``reach`` the values in front of each
+    text (texts x labels).  The way back takes the label at the end of each text and gives the
+    labels of all words and the label in front of each text.
     """
     n, states = scores.shape
-    if n == 0 or states == 1:
-        return np.zeros(n, np.int64)
     # Blocks of at most BLOCK words; the lanes of a block are the labels in front of it.
     per_text = -(-sizes // BLOCK)
     first_block = np.cumsum(per_text) - per_text
@@ -113,30 +135,47 @@ def best_path(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarr
     ends[:len(value)] = value
     matrix = np.empty_like(ends)
     matrix[order] = ends
-    # Join the blocks of each text, then walk back: over blocks, then inside all blocks at once.
+    # Join the blocks of each text.
     entry = np.zeros((len(text_of), states), np.int64)
-    reach = np.zeros((len(sizes), states))
+    reach = reach.copy()
     for j in range(int(per_text.max(initial=0))):
         texts = np.flatnonzero(per_text > j)
         through = reach[texts][:, :, None] + matrix[first_block[texts] + j]
         entry[first_block[texts] + j] = through.argmax(axis=1)
         reach[texts] = through.max(axis=1)
-    last, before = np.zeros(len(text_of), np.int64), np.zeros(len(text_of), np.int64)
-    label = reach.argmax(axis=1)
-    for j in range(int(per_text.max(initial=0)) - 1, -1, -1):
-        texts = np.flatnonzero(per_text > j)
-        block = first_block[texts] + j
-        last[block] = label[texts]
-        before[block] = entry[block, label[texts]]
-        label[texts] = before[block]
-    out = np.zeros(n, np.int64)
-    current, lane = last[order], before[order]
-    for t in range(int(size[0]) - 1, -1, -1):
-        active = int(np.searchsorted(-size, -t, "left"))
-        at, now, k = begin[:active] + t, current[:active], lane[:active]
-        out[at] = now
-        current[:active] = np.where(switched[at, k, now], source[at, k], now)
-    return out
+
+    def back(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # Over blocks first, then inside all blocks at once.
+        label = label.copy()
+        last, before = np.zeros(len(text_of), np.int64), np.zeros(len(text_of), np.int64)
+        for j in range(int(per_text.max(initial=0)) - 1, -1, -1):
+            texts = np.flatnonzero(per_text > j)
+            block = first_block[texts] + j
+            last[block] = label[texts]
+            before[block] = entry[block, label[texts]]
+            label[texts] = before[block]
+        out = np.zeros(n, np.int64)
+        current, lane = last[order], before[order]
+        for t in range(int(size[0]) - 1, -1, -1):
+            active = int(np.searchsorted(-size, -t, "left"))
+            at, now, k = begin[:active] + t, current[:active], lane[:active]
+            out[at] = now
+            current[:active] = np.where(switched[at, k, now], source[at, k], now)
+        return out, label
+
+    return reach, back
+
+
+def best_path(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
+    """The best label of every word; ``scores`` holds texts of ``sizes`` words one by one.
+
+    A path gains the score of each word's label and loses ``penalty`` at each change of label.
+    """
+    n, states = scores.shape
+    if n == 0 or states == 1:
+        return np.zeros(n, np.int64)
+    reach, back = forward(scores, sizes, penalty, np.zeros((len(sizes), states)))
+    return back(reach.argmax(axis=1))[0]
 
 
 class LanguageModel:
@@ -149,6 +188,11 @@ class LanguageModel:
         self.logs = WEIGHT * (logs - logs.mean(axis=0)) if len(languages) else logs
         share = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True))
         self.writes = share >= 0.01
+        k = max(1, len(languages))
+        #: Words solved at once: whole blocks where they fit.
+        self.piece = max(1, min(PIECE_WORDS, CELLS // k ** 2))
+        self.piece -= self.piece % BLOCK if self.piece > BLOCK else 0
+        self.kept = KEPT_BYTES // (160 + 16 * k)
         self.clear()
 
     def clear(self) -> None:
@@ -157,7 +201,7 @@ class LanguageModel:
 
     def rows(self, words: list[str]) -> np.ndarray:
         """The scores of words, a row each; new ones are worked out together."""
-        if len(self.index) > KEPT_WORDS:
+        if len(self.index) > self.kept:
             self.clear()
         new = [w for w in set(words) if w not in self.index]
         if new:
@@ -172,8 +216,49 @@ class LanguageModel:
             self.index.update(zip(new, range(start, start + len(new))))
         return self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
 
+    def label_all(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+        """``label`` of each text, short ones together in chunks, long ones in pieces."""
+        out, held, size, most = [], [], 0, 2 * self.piece  # a word and its gap have two letters or more
+        for text in texts:
+            if len(text) > most or size + len(text) > most:
+                out += self.label(held)
+                held, size = [], 0
+            if len(text) > most:
+                out.append(self.label_long(text))
+            else:
+                held.append(text)
+                size += len(text)
+        return out + self.label(held)
+
+    def label_long(self, text: str) -> tuple[str, float, list[tuple[int, int, str]]]:
+        """(language, score, spans of words) of a text that is solved piece by piece."""
+        k, text = len(self.languages), text.lower()
+        if not k:
+            return NONE, 0.0, []
+        starts, fronts, reach, total = [], [], np.zeros((1, k)), np.zeros(k)
+        for start, words in pieces_of(text, self.piece):
+            starts.append(start)
+            fronts.append(reach)
+            scores = self.rows(words)
+            total += scores.sum(axis=0)
+            reach = forward(scores, np.array([len(words)]), self.penalty, reach)[0]
+        if not starts:
+            return NONE, 0.0, []
+        label, parts, letters = reach.argmax(axis=1), [], np.zeros(k)
+        for start, front in zip(reversed(starts), reversed(fronts)):
+            words = next(pieces_of(text, self.piece, start))[1]
+            labels, label = forward(self.rows(words), np.array([len(words)]), self.penalty, front)[1](label)
+            letters += np.bincount(labels, np.fromiter(map(len, words), np.float64, len(words)), k)
+            parts.append(labels.astype(np.int16))
+        labels = np.concatenate(parts[::-1])
+        chosen = int(letters.argmax())
+        score = letters[chosen] / max(1.0, letters.sum()) / max(1.0, np.exp(np.clip(total - total[chosen], -60, 60)).sum())
+        change = np.flatnonzero(np.diff(labels, prepend=-1))
+        spans = [(a, b, self.languages[labels[a]]) for a, b in zip(change.tolist(), [*change[1:].tolist(), len(labels)])]
+        return self.languages[chosen], float(score), spans
+
     def label(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """(language, score, spans of words) of each text."""
+        """(language, score, spans of words) of each text; all of them are solved at once."""
         found = [words_of(t) for t in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         words = [w for f in found for w in f]
@@ -201,6 +286,7 @@ class LanguageModel:
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, penalty: float = PENALTY) -> LanguageModel:
     """The model of the labelled rows that are not held out."""
+    bound_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~is_held_out(F.col(id_col)))
     counted = known.groupBy(F.col(lang_col).alias("l")).count().collect()  # one row per language
     languages = sorted(r["l"] for r in counted)
@@ -213,16 +299,14 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in give_back(batches):
             for language, texts in batch.groupby("l")["t"]:
                 for text in texts:
-                    words = words_of(text)
-                    if not words:
-                        continue
-                    bucket, _, script = grams(words)
-                    held = sums.setdefault(language, np.zeros((1 << BITS) + len(SCRIPT_NAMES)))
-                    held[:1 << BITS] += np.bincount(bucket, minlength=1 << BITS)
-                    held[1 << BITS:] += np.bincount(script, minlength=len(SCRIPT_NAMES))
+                    for _, words in pieces_of(text.lower(), PIECE_WORDS):
+                        bucket, _, script = grams(words)
+                        held = sums.setdefault(language, np.zeros((1 << BITS) + len(SCRIPT_NAMES)))
+                        held[:1 << BITS] += np.bincount(bucket, minlength=1 << BITS)
+                        held[1 << BITS:] += np.bincount(script, minlength=len(SCRIPT_NAMES))
         for language, held in sums.items():
             at = np.flatnonzero(held)
             yield pd.DataFrame({"l": language, "bucket": at, "n": held[at].astype(np.int64)})
@@ -239,14 +323,8 @@ def language(text: Column, model: LanguageModel) -> Column:
 
     @F.pandas_udf("lang string, score double, spans array<struct<first:int,last:int,lang:string>>")
     def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows, held, size = [], [], 0
-            for k, text in enumerate(texts):
-                held.append(text)
-                size += len(text)
-                if size >= CHUNK_BYTES or k == len(texts) - 1:
-                    rows += model.label(held)
-                    held, size = [], 0
+        for texts in give_back(batches):
+            rows = model.label_all(texts)
             yield pd.DataFrame({
                 "lang": [r[0] for r in rows], "score": [r[1] for r in rows],
                 "spans": [[dict(zip(("first", "last", "lang"), s)) for s in r[2]] for r in rows],
@@ -257,6 +335,7 @@ def language(text: Column, model: LanguageModel) -> Column:
 
 def with_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
     """``docs`` with the prediction as its last column (``language``, or longer if taken)."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(fresh(docs, "language"), language(F.col(text_col), model))
 
 
