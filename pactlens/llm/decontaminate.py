@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlens.llm.common import forget, fresh, written
+from pactlens.llm.common import bound_batches, forget, fresh, give_back, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -172,7 +172,7 @@ def _pass(benchmark: Benchmark):
 
     @F.pandas_udf(HITS)
     def hits(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, known, items in batches:
+        for texts, known, items in give_back(batches):
             rows = []
             held, size, start = [], 0, 0
             for k, text in enumerate(texts):
@@ -215,6 +215,7 @@ def with_hits(
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """``docs`` with a last struct column: n_words, hits (flat word ranges), items (ids as text)."""
+    bound_batches(docs.sparkSession)
     out = fresh(docs, "contamination")
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t"), F.xxhash64(item_text_col, F.col(item_col).cast("string")).alias("h"))
     buckets, blocks = _blocks(rows, window, block_bytes, block_windows)

@@ -42,7 +42,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlens.llm.common import forget, fresh, release, written
+from pactlens.llm.common import bound_batches, forget, fresh, give_back, release, written
 from pactlens.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -202,7 +202,7 @@ def signature(text: Column, width: int) -> Column:
 
     @F.pandas_udf(SIGNATURE)
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in give_back(batches):
             made = []
             for chunk in _chunks(texts):  # a chunk's sets go before the next one's come
                 made += [(len(s), set_hash(s), narrow_sketch(s)) if len(s) else (0, None, None) for s in shingle_sets(chunk, width)]
@@ -216,7 +216,7 @@ def _keys(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands, seen = Bands(num, den, 1 << 12), set()
-        for batch in batches:
+        for batch in give_back(batches):
             for chunk in _chunks(batch["t"]):
                 hashes, keys = [], []
                 for s in shingle_sets(chunk, width):
@@ -239,7 +239,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """h, n, wide (its wide sketch), shingles (sorted 64-bit integers) of the text column ``t``."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in give_back(batches):
             for chunk in _chunks(batch["t"]):
                 sets = [s for s in shingle_sets(chunk, width) if len(s)]
                 yield pd.DataFrame({
@@ -261,7 +261,7 @@ def _close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose wide sketches allow the link; a pair carries about two bits a shingle here, not 64."""
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in give_back(batches):
             most = (batch["n_a"] + batch["n_b"]) * (den - num) // (den + num)
             keep = [sketch_distance(x, y) <= d for x, y, d in zip(batch["wide_a"], batch["wide_b"], most)]
             yield batch.loc[keep, ["a", "b", "la", "lb"]]
@@ -273,7 +273,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     """The pairs (a, b), with their labels (la, lb), whose sets are similar enough."""
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in give_back(batches):
             keep = []
             for x, y in zip(batch["shingles_a"], batch["shingles_b"]):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -299,6 +299,7 @@ def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "d
     Two sets link when ``den`` times the intersection is at least ``num`` times the union.
     """
     spark, spent = docs.sparkSession, []
+    bound_batches(spark)
 
     def stage(df: DataFrame) -> DataFrame:
         df, path = written(df)
@@ -403,7 +404,7 @@ def signature_hash(text: Column, width: int) -> Column:
 
     @F.pandas_udf("bigint")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in give_back(batches):
             yield pd.Series([set_hash(s) if len(s) else None for chunk in _chunks(texts) for s in shingle_sets(chunk, width)], dtype="Int64")
 
     return hashed(text)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactlens.llm.byte_level import ByteLevelEncoder
-from pactlens.llm.common import worker_cache
+from pactlens.llm.common import bound_batches, give_back, worker_cache
 from pactlens.llm.rans import decode_shard, encode_shard
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -68,7 +68,7 @@ def write_token_shards(
             kinds = {"part": pa.int32(), "shard": pa.int32(), "part_start": pa.int64(), "n_tokens": pa.int64(), "doc_ids": pa.list_(pa.int64()), "doc_tokens": pa.list_(pa.int64()), "payload": pa.binary()}
             return pa.RecordBatch.from_pydict(row, schema=pa.schema(list(kinds.items())))
 
-        for batch in batches:
+        for batch in give_back(batches):
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 texts.append(encoder.encode(text.as_py() or "") + end)
                 ids.append(ident)
@@ -80,6 +80,7 @@ def write_token_shards(
         if ids:
             yield closed()
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
     dealt = rows.repartitionByRange("i", "h").sortWithinPartitions("i", "h").select("i", "t")
     dealt.mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
@@ -100,7 +101,7 @@ def read_token_shards(spark: SparkSession, path: str, *, with_ids: bool = False)
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in give_back(batches):
             for k in range(batch.num_rows):
                 start, doc_ids, lengths, payload = (batch.column(c)[k].as_py() for c in range(4))
                 ids = decode_shard(payload)
