@@ -278,6 +278,14 @@ def _filled(rows: DataFrame, citations: DataFrame) -> DataFrame:
     return rows.join(packed, "answer_id", "left").withColumn("sources", F.coalesce(plain, F.col("sources"))).drop("filled")
 
 
+def fill_references(explanations: DataFrame, supplied: DataFrame) -> DataFrame:
+    """Q13: references of explanations; an empty location is filled in from the clause, other fields stay."""
+    rows = citations(explanations, supplied, "evidence_references")
+    place = F.when(_quoted(F.col("c.source_location")) == "", F.coalesce("clause.location", "c.source_location"))
+    filled = F.col("c").withField("source_location", place.otherwise(F.col("c.source_location")))
+    return rows.select("answer_id", "pos", filled.alias("reference"))
+
+
 def validate_answers(answers: DataFrame, supplied: DataFrame) -> DataFrame:
     """Q12-Q17 for answers ``(answer_id, answer, evidence_sufficient, confidence, sources, uncertainty)``."""
     said = F.array(F.concat(_quoted(F.col("answer")), F.lit(" "), _quoted(F.col("uncertainty"))))
@@ -301,7 +309,12 @@ def validate_explanations(explanations: DataFrame, supplied: DataFrame) -> DataF
     errors = citation_errors(explanations, supplied, "evidence_references", False).unionByName(
         guard_errors(explanations, said, "explanation")
     )
-    rows = _verdicts(explanations, errors)
+    packed = fill_references(explanations, supplied).groupBy("answer_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "reference"))).alias("filled")
+    )
+    filled = F.coalesce(F.transform("filled", lambda r: r["reference"]), F.col("evidence_references"))
+    rows = _verdicts(explanations, errors).join(packed, "answer_id", "left")
+    rows = rows.withColumn("evidence_references", filled).drop("filled")
     ok = F.col("is_valid")
     return rows.withColumns({
         "uncertainty": F.when(ok, F.col("uncertainty")).otherwise(_failure()),

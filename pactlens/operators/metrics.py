@@ -35,16 +35,25 @@ def confusion_totals(pairs: DataFrame) -> DataFrame:
     return pairs.cube("truth", "pred").agg(F.count("*").alias("n"))
 
 
-def per_class(pairs: DataFrame) -> DataFrame:
-    """Counts, precision, recall and F1 per class."""
+def per_class(pairs: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """Counts, precision, recall and F1 per class, of the classes that occur or of ``labels``.
+
+    A given label that does not occur has zeros.  Pairs with other labels still count as
+    errors of the given label on their other side.
+    """
     hit = (F.col("truth") == F.col("pred")).cast("int")
     sides = pairs.select(F.explode(F.array(
         F.struct(F.col("truth").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p"), hit.alias("tp")),
         F.struct(F.col("pred").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("tp")),
     )).alias("s")).select("s.*")
+    if labels is not None:
+        sides = sides.where(F.col("label").isin(labels))
     counts = sides.groupBy("label").agg(
         F.sum("tp").alias("tp"), F.sum("t").alias("support"), F.sum("p").alias("predicted")
     )
+    if labels is not None:
+        given = pairs.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(labels)], "label string")
+        counts = given.join(counts, "label", "left").fillna(0, ["tp", "support", "predicted"])
     rows = counts.withColumns({
         "fp": F.col("predicted") - F.col("tp"), "fn": F.col("support") - F.col("tp"),
         "precision": _ratio(F.col("tp"), F.col("predicted")), "recall": _ratio(F.col("tp"), F.col("support")),
@@ -52,10 +61,12 @@ def per_class(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("f1", _f1(F.col("precision"), F.col("recall"))).drop("predicted")
 
 
-def classification_summary(pairs: DataFrame) -> DataFrame:
-    """Accuracy and the macro means over the classes that the truth has."""
+def classification_summary(pairs: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """Accuracy over all pairs and the macro means over the classes (of ``labels``) that the truth has."""
     classes = per_class(pairs)
     present = F.col("support") > 0
+    if labels is not None:
+        present = present & F.col("label").isin(labels)
     mean = lambda c: F.coalesce(F.avg(F.when(present, F.col(c))), F.lit(0.0))
     return classes.agg(
         F.sum("support").alias("sample_size"), F.sum("tp").alias("correct_predictions"),

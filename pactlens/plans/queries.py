@@ -904,15 +904,41 @@ def validate_answers(spark, d):
     return ground.validate_answers(_answers(spark, d, hits), _supplied(hits)).select("answer_id", "is_valid", "answer", "uncertainty")
 
 
+def _explanations(spark, d, hits) -> DataFrame:
+    """The answers as explanations of clauses: their citations are the references."""
+    return _answers(spark, d, hits).select(
+        "answer_id", F.coalesce("answer", F.lit("")).alias("summary"), F.lit("").alias("attention_explanation"), F.lit("").alias("relationship_explanation"),
+        F.array(F.lit("one point")).alias("key_points"), "evidence_sufficient", "uncertainty", F.col("sources").alias("evidence_references"))
+
+
 @register("q17_explanations", f"""
     SELECT answer_id, count(*) FILTER (WHERE NOT ok) = 0 AND NOT bool_or(v = 7) AS is_valid FROM (SELECT answer_id, v, v NOT IN (2, 3) AND state <> 'missing' AS ok FROM judged) GROUP BY 1""")
 def _(spark, d):
     hits = stage(_hits(spark, d))
-    answers = _answers(spark, d, hits)
-    explained = answers.select(
-        "answer_id", F.coalesce("answer", F.lit("")).alias("summary"), F.lit("").alias("attention_explanation"), F.lit("").alias("relationship_explanation"),
-        F.array(F.lit("one point")).alias("key_points"), "evidence_sufficient", "uncertainty", F.col("sources").alias("evidence_references"))
-    return ground.validate_explanations(explained, _supplied(hits)).select("answer_id", "is_valid")
+    return ground.validate_explanations(_explanations(spark, d, hits), _supplied(hits)).select("answer_id", "is_valid")
+
+
+@register("q13_filled_references", """
+    SELECT answer_id, pos, clause_id, section_title, CASE WHEN source_location = '' THEN true_location ELSE source_location END AS source_location, quoted_text FROM cited""")
+def _(spark, d):
+    hits = stage(_hits(spark, d))
+    return ground.fill_references(_explanations(spark, d, hits), _supplied(hits)).select("answer_id", "pos", "reference.*")
+
+
+@register("q17_explanation_fields", f"""
+    SELECT j.answer_id, ok AS is_valid, ok AS evidence_sufficient, CASE WHEN ok THEN coalesce(r.answer, '') ELSE {lit(rules.REJECTED_EXPLANATION)} END AS summary,
+           CASE WHEN ok THEN 'one point' ELSE '' END AS key_points, CASE WHEN ok THEN refs ELSE '' END AS refs, CASE WHEN ok THEN '' ELSE n_errors::VARCHAR END AS n_errors
+    FROM (SELECT answer_id, n_wrong = 0 AS ok, n_wrong AS n_errors, refs
+          FROM (SELECT answer_id, count(*) FILTER (WHERE v IN (2, 3)) + count(*) FILTER (WHERE state = 'missing') + max(CASE WHEN v = 7 THEN 1 ELSE 0 END) AS n_wrong,
+                       string_agg(clause_id || '@' || CASE WHEN source_location = '' THEN true_location ELSE source_location END, '|' ORDER BY pos) AS refs FROM judged GROUP BY 1)) j
+    JOIN replies r ON r.answer_id = j.answer_id""")
+def _(spark, d):
+    hits = stage(_hits(spark, d))
+    rows = ground.validate_explanations(_explanations(spark, d, hits), _supplied(hits))
+    refs = F.transform("evidence_references", lambda c: F.concat(c["clause_id"], F.lit("@"), c["source_location"]))
+    return rows.select(
+        "answer_id", "is_valid", "evidence_sufficient", "summary", F.array_join("key_points", "|").alias("key_points"), F.array_join(refs, "|").alias("refs"),
+        F.regexp_extract("uncertainty", r"^Evidence validation failed with (\d+) error\(s\): ", 1).alias("n_errors"))
 
 
 @register("q18_status", """
@@ -1134,6 +1160,27 @@ def _(spark, d):
     return _rounded(metrics.per_class(_category_pairs(spark, d)), "precision", "recall", "f1")
 
 
+#: Every second category, and one that occurs nowhere.
+_GIVEN = [*rules.CATEGORIES[::2], "Unused"]
+_GIVEN_SQL = ", ".join(lit(x) for x in _GIVEN)
+
+
+@register("e2_given_labels", f"""
+    SELECT g.label, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(support, 0) AS support,
+           round(coalesce(precision, 0), 6) AS precision, round(coalesce(recall, 0), 6) AS recall, round(coalesce(f1, 0), 6) AS f1
+    FROM (SELECT unnest([{_GIVEN_SQL}]) AS label) g LEFT JOIN class_counts USING (label)""")
+def _(spark, d):
+    return _rounded(metrics.per_class(_category_pairs(spark, d), _GIVEN), "precision", "recall", "f1")
+
+
+@register("e3_given_labels", f"""
+    SELECT sum(support)::BIGINT AS sample_size, sum(tp)::BIGINT AS correct_predictions, round(sum(tp) / sum(support), 6) AS accuracy,
+           round(coalesce(avg(precision) FILTER (WHERE present), 0), 6) AS macro_precision, round(coalesce(avg(recall) FILTER (WHERE present), 0), 6) AS macro_recall, round(coalesce(avg(f1) FILTER (WHERE present), 0), 6) AS macro_f1
+    FROM (SELECT *, support > 0 AND label IN ({_GIVEN_SQL}) AS present FROM class_counts)""")
+def _(spark, d):
+    return _rounded(metrics.classification_summary(_category_pairs(spark, d), _GIVEN), "accuracy", "macro_precision", "macro_recall", "macro_f1")
+
+
 @register("e3_category_summary", _summary_sql("category_pairs"))
 def _(spark, d):
     return _rounded(metrics.classification_summary(_category_pairs(spark, d)), "accuracy", "macro_precision", "macro_recall", "macro_f1")

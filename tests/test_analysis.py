@@ -219,6 +219,35 @@ def test_classification_metrics(spark):
     assert [list(r)[1:] for r in metrics.confusion_matrix(cm, ["A", "B", "C"]).orderBy("truth").collect()] == [[1, 1, 0], [0, 1, 0], [0, 0, 1]]
 
 
+def test_given_labels(spark):
+    pairs = spark.createDataFrame([("P", "P"), ("P", "A"), ("A", "P"), ("L", "A"), (None, "P")], "truth string, pred string")
+    rows = {r["label"]: r for r in metrics.per_class(pairs, ["A", "P", "Z", "P"]).collect()}
+    counts = {k: (r["tp"], r["fp"], r["fn"], r["support"]) for k, r in rows.items()}
+    assert counts == {"P": (1, 2, 1, 2), "A": (0, 2, 1, 1), "Z": (0, 0, 0, 0)}
+    assert (rows["Z"]["precision"], rows["Z"]["f1"]) == (0.0, 0.0)
+    got = metrics.classification_summary(pairs, ["P", "Z"]).first()
+    assert (got["sample_size"], got["correct_predictions"], got["macro_recall"]) == (5, 1, 0.5)
+    assert metrics.per_class(pairs.limit(0), ["A"]).first()["support"] == 0
+
+
+def test_references_of_explanations_are_filled(spark):
+    supplied = spark.createDataFrame(
+        [("e1", "c1", None, "Offset 0-9", "Pay it now."), ("e2", "c1", "1. Fees", "Offset 0-9", "Pay it now.")],
+        "answer_id string, clause_id string, section_title string, location string, text string",
+    )
+    ref = "struct<clause_id:string,source_location:string,quoted_text:string>"
+    explained = spark.createDataFrame(
+        [("e1", "s", "", "", ["k"], True, "", [("c1", None, "pay it"), ("c1", "", ""), ("c1", "offset 0-9", "now"), ("c1", "  ", "it")]),
+         ("e2", "s", "", "", ["k"], True, "", [("c1", "", "pay it"), ("c9", "", "x")]), ("e3", "s", "", "", None, True, "", [])],
+        f"answer_id string, summary string, attention_explanation string, relationship_explanation string, key_points array<string>, evidence_sufficient boolean, uncertainty string, evidence_references array<{ref}>",
+    )
+    rows = {r["answer_id"]: r for r in ground.validate_explanations(explained, supplied).collect()}
+    assert [r["source_location"] for r in rows["e1"]["evidence_references"]] == ["Offset 0-9", "Offset 0-9", "offset 0-9", "  "]
+    assert rows["e1"]["is_valid"] and [r["quoted_text"] for r in rows["e1"]["evidence_references"]] == ["pay it", "", "now", "it"]
+    assert not rows["e2"]["is_valid"] and rows["e2"]["evidence_references"] == [] and "1 error(s)" in rows["e2"]["uncertainty"]
+    assert rows["e3"]["is_valid"] and rows["e3"]["evidence_references"] == []
+
+
 def test_retrieval_metrics(spark):
     queries = spark.createDataFrame([("q1",), ("q2",), ("q3",), ("q4",)], "query_id string")
     relevant = spark.createDataFrame([("q1", "c1"), ("q2", "c2"), ("q3", "c3")], "query_id string, clause_id string")
