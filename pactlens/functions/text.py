@@ -166,11 +166,8 @@ def is_blank(text: Column) -> Column:
 
 
 def shown(value: Column, digits: int) -> Column:
-    """A score as it is shown: half-even on the exact binary value, unlike ``round``.
-
-    For values below 1000, which the number format writes without separators.
-    """
-    return F.format_number(value, digits).cast("double")
+    """A score as it is shown: half-even on the exact binary value, unlike ``round``."""
+    return F.translate(F.format_number(value, digits), ",", "").cast("double")
 
 
 def settle(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -35,8 +35,8 @@ def test_lines_and_words(spark):
 
 
 def test_shown_rounds_the_binary_value(spark):
-    rows = spark.createDataFrame([(2.675,), (0.5075,), (0.125,)], "x double")
-    assert [r[0] for r in rows.select(T.shown(F.col("x"), 2)).collect()] == [round(v, 2) for v in (2.675, 0.5075, 0.125)]
+    rows = spark.createDataFrame([(2.675,), (0.5075,), (0.125,), (1234567.125,), (-1000.005,), (None,)], "x double")
+    assert [r[0] for r in rows.select(T.shown(F.col("x"), 2)).collect()] == [round(v, 2) for v in (2.675, 0.5075, 0.125, 1234567.125, -1000.005)] + [None]
 
 
 def test_running_lines(spark):
