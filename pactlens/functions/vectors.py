@@ -23,6 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIM = 64
 DECIMALS = 9  # equal texts must tie exactly, whatever the shape of a block product
+FILL_ROWS = 1024  # texts that are counted at once
 BLOCK = 256  # clauses of one document that are compared as one block
 
 
@@ -34,11 +35,14 @@ def token_codes(text: Column, dim: int = DIM) -> Column:
     )
 
 
-def _fill(codes: np.ndarray, dim: int) -> np.ndarray:
-    counts = np.bincount(codes, minlength=2 * dim)
-    vec = (counts[0::2] - counts[1::2]).astype(np.float64)
-    norm = np.sqrt((vec * vec).sum())
-    return (vec / norm if norm else vec).astype(np.float32)
+def _fill(codes: list[np.ndarray], dim: int) -> np.ndarray:
+    """The unit vectors of many texts, one row each, from one count over all their codes."""
+    row = np.repeat(np.arange(len(codes)), [len(c) for c in codes]) * (2 * dim)
+    all_codes = np.concatenate([*codes, []]).astype(np.int64)
+    counts = np.bincount(row + all_codes, minlength=2 * dim * len(codes)).reshape(len(codes), dim, 2)
+    vecs = (counts[:, :, 0] - counts[:, :, 1]).astype(np.float64)
+    norms = np.sqrt((vecs * vecs).sum(axis=1))
+    return (vecs / np.where(norms > 0, norms, 1.0)[:, None]).astype(np.float32)
 
 
 def encode(text: Column, dim: int = DIM) -> Column:
@@ -46,7 +50,9 @@ def encode(text: Column, dim: int = DIM) -> Column:
 
     @F.pandas_udf("array<float>")
     def fill(codes: pd.Series) -> pd.Series:
-        return codes.map(lambda c: _fill(np.asarray(c, dtype=np.int64), dim))
+        given = [c if c is not None else np.empty(0, np.int64) for c in codes]
+        parts = [_fill(given[k:k + FILL_ROWS], dim) for k in range(0, len(given), FILL_ROWS)]
+        return pd.Series([v for part in parts for v in part], dtype=object)
 
     return fill(token_codes(text, dim))
 
@@ -57,7 +63,7 @@ def encode_phrases(phrases: list[str], dim: int = DIM) -> np.ndarray:
         [int(hashlib.md5(t.encode()).hexdigest()[:5], 16) % (2 * dim) for t in re.findall("[a-z]{2,}", p.lower())]
         for p in phrases
     ]
-    return np.stack([_fill(np.asarray(h, dtype=np.int64), dim) for h in hashed])
+    return _fill([np.asarray(h, dtype=np.int64) for h in hashed], dim)
 
 
 def normalize(vec: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pactlens import rules
 from pactlens.functions import text as T
+from pactlens.functions.positions import locate
 
 def _running():
     return Window.partitionBy("document_id").orderBy("pos")
@@ -262,47 +263,13 @@ def blocks_of(documents: DataFrame) -> DataFrame:
     return assemble_blocks(_carry(documents.select("document_id", "cleaned_text")))
 
 
-_FOLD_SIZE = 256
-_SPOT = "struct<start_char:int,end_char:int,found:boolean>"
-
-
 def locate_all(raw: Column, texts: Column) -> Column:
     """(start_char, end_char, found) of every clause text of one document, in order.
 
     Each probe (first 40 characters) is searched from where the previous clause ended,
-    then from the start; a probe that is nowhere takes the running position.  The fold
-    runs in two levels so that appending to its result stays cheap for long documents.
+    then from the start; a probe that is nowhere takes the running position.
     """
-    state = f"struct<hint:int,spots:array<{_SPOT}>>"
-    outer_state = f"struct<hint:int,runs:array<array<{_SPOT}>>>"
-    probes = F.transform(texts, lambda t: F.struct(
-        T.strip(F.substring(t, 1, 40)).alias("probe"), F.length(t).alias("n_chars")
-    ))
-
-    def step(acc: Column, p: Column) -> Column:
-        ahead = F.call_function("locate", p["probe"], raw, acc["hint"] + 1)
-        anywhere = T.let(ahead, lambda a: F.when(a > 0, a).otherwise(F.call_function("locate", p["probe"], raw)))
-        return T.let(T.let(anywhere, lambda a: F.struct(
-            F.when(a > 0, a - 1).otherwise(acc["hint"]).alias("at"), (a > 0).alias("found")
-        )), lambda x: F.struct(
-            (x["at"] + p["n_chars"]).alias("hint"),
-            F.array_append(acc["spots"], F.struct(
-                x["at"].alias("start_char"), (x["at"] + p["n_chars"]).alias("end_char"), x["found"].alias("found")
-            )).alias("spots"),
-        ).cast(state))
-
-    def run(outer: Column, i: Column) -> Column:
-        part = F.slice(probes, i * _FOLD_SIZE + 1, F.lit(_FOLD_SIZE))
-        start = F.struct(outer["hint"].alias("hint"), F.array().cast(f"array<{_SPOT}>").alias("spots")).cast(state)
-        return T.let(F.aggregate(part, start, step), lambda x: F.struct(
-            x["hint"].alias("hint"), F.array_append(outer["runs"], x["spots"]).alias("runs")
-        ).cast(outer_state))
-
-    first = F.struct(
-        F.lit(0).alias("hint"), F.array().cast(f"array<array<{_SPOT}>>").alias("runs")
-    ).cast(outer_state)
-    n_runs = F.ceil(F.size(texts) / _FOLD_SIZE).cast("int")
-    return F.aggregate(F.sequence(F.lit(0), n_runs - 1), first, run, lambda acc: F.flatten(acc["runs"]))
+    return locate(raw, F.transform(texts, lambda t: T.strip(F.substring(t, 1, 40))), F.transform(texts, F.length))
 
 
 def segment(documents: DataFrame, pages: DataFrame | None = None) -> DataFrame:

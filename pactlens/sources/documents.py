@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactlens.functions import text as T
-from pactlens.operators.pages import remove_running_lines
+from pactlens.operators.pages import cut_texts, gathered_pages
 
 NO_TEXT = "The submitted text is empty or contains only whitespace."
 TOO_SHORT = "The submitted text is shorter than 10 characters."
@@ -85,22 +85,13 @@ def page_ranges(pages: DataFrame) -> DataFrame:
     )
 
 
-def _joined(pages: DataFrame, separator: str, name: str) -> DataFrame:
-    # The result is the text of one document, so a row bounds what is gathered.
-    parts = F.array_sort(F.collect_list(F.struct("page_number", "text")))
-    return pages.groupBy("document_id").agg(
-        F.array_join(F.transform(parts, lambda p: p["text"]), separator).alias(name),
-        F.count("*").cast("int").alias("page_count"),
-    )
-
-
 def from_pages(pages: DataFrame) -> DataFrame:
-    """Documents of page texts ``(document_id, page_number, text)``."""
-    raw = _joined(pages, "\n", "raw_text")
-    cleaned = _joined(remove_running_lines(pages), "\n\n", "cleaned_text").drop("page_count")
-    return with_metadata(raw.join(cleaned, "document_id").select(
+    """Documents of page texts ``(document_id, page_number, text)``; one scan and one exchange."""
+    texts = F.transform("pages", lambda p: p["text"])
+    return with_metadata(gathered_pages(pages.select("document_id", "page_number", "text")).select(
         "document_id", F.lit("uploaded_document.pdf").alias("filename"), F.lit("pdf").alias("source_type"),
-        "raw_text", T.clean_text(F.col("cleaned_text")).alias("cleaned_text"), "page_count",
+        F.array_join(texts, "\n").alias("raw_text"), T.clean_text(F.array_join(cut_texts(texts), "\n\n")).alias("cleaned_text"),
+        F.size("pages").alias("page_count"),
     ))
 
 
