@@ -1,8 +1,9 @@
 """Contract tables derived from the ``documents`` and ``conversations`` tables.
 
-The driver's texts hold no contract vocabulary, so every non-blank line of every
-document is led by one of the contract sentences below and becomes one clause.  The
-whole text of the whole table flows through, and all of it grows with the table.
+The driver's texts hold no contract vocabulary, so every line of every document, blank
+ones too, is led by one of the contract sentences below and becomes one clause.  The
+whole text of the whole table flows through, outer spaces of lines too, and all of it
+grows with the table.  A null or empty text has one blank line.
 The derivation is one narrow projection per document row: no shuffle.
 """
 
@@ -83,8 +84,8 @@ def _templates() -> Column:
     ])
 
 
-def _filled_lines() -> Column:
-    return F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+def _lines() -> Column:
+    return F.split(F.coalesce("text", F.lit("")), "\n")
 
 
 def _template_index(k: Column) -> Column:
@@ -95,10 +96,10 @@ def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One clause per document line, with the labels that its template carries."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
-        "doc_id", "source", F.posexplode(_filled_lines()).alias("k", "line")
+        "doc_id", "source", F.posexplode(_lines()).alias("k", "line")
     ).withColumn("tmpl", _template_index(F.col("k")))
     picked = rows.withColumn("t", F.get(_templates(), F.col("tmpl")))
-    text = F.concat(F.col("t.sentence"), F.lit(" "), F.trim("line"))
+    text = F.concat(F.col("t.sentence"), F.lit(" "), "line")
     paged = F.col("doc_id") % 3 == 0
     page = F.floor(F.col("k") / 3).cast("int") + 1
     start = F.col("k") * 1000
@@ -127,7 +128,7 @@ def _piece(line: Column, k: Column) -> Column:
 
 
 def _layout(t: Column, line: Column, k: Column) -> Column:
-    body = F.concat(t["sentence"], F.lit(" "), F.trim(line))
+    body = F.concat(t["sentence"], F.lit(" "), line)
     n = (k + 1).cast("string")
     style = F.col("doc_id") % 6
     letter = lambda base: F.char(k % 26 + base)
@@ -164,7 +165,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(
         F.col("doc_id") % 2 == 0, F.concat(F.lit("Master "), F.col("source"), F.lit(" - Terms of Service\n\n"))
     ).otherwise("")
-    text = F.concat(head, F.array_join(F.transform(_filled_lines(), _piece), "\n\n"))
+    text = F.concat(head, F.array_join(F.transform(_lines(), _piece), "\n\n"))
     return docs.select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"),
         F.concat(F.col("source"), F.lit(".txt")).alias("title"),
@@ -175,7 +176,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(document_id, page_number, text)``: three lines per page, with running lines."""
     docs = table(spark, sf_dir, "documents")
-    rows = docs.withColumn("pieces", F.transform(_filled_lines(), _piece)).withColumn(
+    rows = docs.withColumn("pieces", F.transform(_lines(), _piece)).withColumn(
         "n_pages", F.ceil(F.size("pieces") / 3).cast("int")
     )
     pages = rows.select(

@@ -64,33 +64,33 @@ PARTS["asked"] = (
 PARTS["lines"] = f"""
     SELECT doc_id, source, k, line, (doc_id * 7 + k * 11) % {len(corpus.TEMPLATES)} AS tmpl
     FROM (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS k
-          FROM (SELECT doc_id, source, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents))"""
+          FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))"""
 PARTS["clauses"] = """
     SELECT 'doc_' || doc_id AS document_id, doc_id, printf('doc_%d_clause_%03d', doc_id, k + 1) AS clause_id,
            (k + 1)::INT AS clause_index,
            CASE WHEN tmpl % 8 = 7 THEN 'General' ELSE (k + 1) || '. ' || title END AS section_title,
-           sentence || ' ' || trim(line) AS text,
+           sentence || ' ' || line AS text,
            CASE WHEN doc_id % 3 = 0 THEN (k // 3)::INT + 1 END AS page_number,
            CASE WHEN doc_id % 3 = 0 THEN (k // 3)::INT + 1 + (k % 2)::INT END AS end_page_number,
-           (k * 1000)::INT AS start_char, (k * 1000 + length(sentence || ' ' || trim(line)))::INT AS end_char,
+           (k * 1000)::INT AS start_char, (k * 1000 + length(sentence || ' ' || line))::INT AS end_char,
            category AS expected_category, level AS expected_level, tmpl, category AS primary_category,
            CASE WHEN tmpl % 3 = 0 THEN ['Account', 'Changes'] ELSE []::VARCHAR[] END AS secondary_categories,
            CASE WHEN doc_id % 3 = 0 AND k % 2 = 1
-                THEN printf('Pages %d-%d (chars %d-%d)', k // 3 + 1, k // 3 + 2, k * 1000, k * 1000 + length(sentence || ' ' || trim(line)))
-                WHEN doc_id % 3 = 0 THEN printf('Page %d (chars %d-%d)', k // 3 + 1, k * 1000, k * 1000 + length(sentence || ' ' || trim(line)))
-                ELSE printf('Offset %d-%d', k * 1000, k * 1000 + length(sentence || ' ' || trim(line))) END AS location
+                THEN printf('Pages %d-%d (chars %d-%d)', k // 3 + 1, k // 3 + 2, k * 1000, k * 1000 + length(sentence || ' ' || line))
+                WHEN doc_id % 3 = 0 THEN printf('Page %d (chars %d-%d)', k // 3 + 1, k * 1000, k * 1000 + length(sentence || ' ' || line))
+                ELSE printf('Offset %d-%d', k * 1000, k * 1000 + length(sentence || ' ' || line)) END AS location
     FROM lines JOIN templates USING (tmpl)"""
 PARTS["pieces"] = r"""
     SELECT doc_id, source, k, CASE
-        WHEN doc_id % 6 = 0 THEN (k + 1) || '. ' || title || chr(10) || sentence || ' ' || trim(line)
-        WHEN doc_id % 6 = 1 AND k % 3 = 0 THEN 'SECTION ' || (k + 1) || ': ' || title || chr(10) || chr(10) || (k + 1) || '.1 Scope' || chr(10) || sentence || ' ' || trim(line)
-        WHEN doc_id % 6 = 1 AND k % 3 = 1 THEN (k + 1) || '.2 ' || sentence || ' ' || trim(line)
-        WHEN doc_id % 6 = 1 THEN '(b)' || chr(10) || chr(10) || sentence || ' ' || trim(line) || chr(10) || chr(10) || 'Closing remark.'
-        WHEN doc_id % 6 = 2 AND k % 2 = 0 THEN chr((65 + k % 26)::INT) || '. ' || title || chr(10) || sentence || ' ' || trim(line)
-        WHEN doc_id % 6 = 2 THEN '(' || chr((97 + k % 26)::INT) || ') ' || sentence || ' ' || trim(line)
-        WHEN doc_id % 6 = 3 THEN upper(title) || chr(10) || chr(10) || sentence || ' ' || trim(line)
-        WHEN doc_id % 6 = 4 AND k = 0 THEN '1. ' || sentence || ' ' || trim(line)
-        WHEN doc_id % 6 = 4 THEN title || ': ' || sentence || ' ' || trim(line)
+        WHEN doc_id % 6 = 0 THEN (k + 1) || '. ' || title || chr(10) || sentence || ' ' || line
+        WHEN doc_id % 6 = 1 AND k % 3 = 0 THEN 'SECTION ' || (k + 1) || ': ' || title || chr(10) || chr(10) || (k + 1) || '.1 Scope' || chr(10) || sentence || ' ' || line
+        WHEN doc_id % 6 = 1 AND k % 3 = 1 THEN (k + 1) || '.2 ' || sentence || ' ' || line
+        WHEN doc_id % 6 = 1 THEN '(b)' || chr(10) || chr(10) || sentence || ' ' || line || chr(10) || chr(10) || 'Closing remark.'
+        WHEN doc_id % 6 = 2 AND k % 2 = 0 THEN chr((65 + k % 26)::INT) || '. ' || title || chr(10) || sentence || ' ' || line
+        WHEN doc_id % 6 = 2 THEN '(' || chr((97 + k % 26)::INT) || ') ' || sentence || ' ' || line
+        WHEN doc_id % 6 = 3 THEN upper(title) || chr(10) || chr(10) || sentence || ' ' || line
+        WHEN doc_id % 6 = 4 AND k = 0 THEN '1. ' || sentence || ' ' || line
+        WHEN doc_id % 6 = 4 THEN title || ': ' || sentence || ' ' || line
         ELSE line END AS piece
     FROM lines JOIN templates USING (tmpl)"""
 PARTS["raw_docs"] = r"""

@@ -208,7 +208,9 @@ def _arrived(spark, d) -> str:
 @register("s8_quarantine", f"""
     SELECT document_id, CASE doc_id % 10 WHEN 0 THEN {lit(sources.NO_TEXT)} ELSE {lit(sources.TOO_SHORT)} END AS reject_reason
     FROM raw_docs WHERE doc_id % 10 < 2 AND (doc_id % 10 = 0 OR trim(left(raw_text, 7)) <> '') UNION ALL
-    SELECT document_id, {lit(sources.NO_TEXT)} FROM raw_docs WHERE doc_id % 10 = 1 AND trim(left(raw_text, 7)) = ''""")
+    SELECT document_id, {lit(sources.NO_TEXT)} FROM raw_docs WHERE doc_id % 10 = 1 AND trim(left(raw_text, 7)) = '' UNION ALL
+    SELECT document_id, CASE WHEN trim(raw_text) = '' THEN {lit(sources.NO_TEXT)} ELSE {lit(sources.TOO_SHORT)} END
+    FROM raw_docs WHERE trim(raw_text) = '' OR length(raw_text) < 10""")
 def _(spark, d):
     return arrivals.read_rejects(spark, _arrived(spark, d)).select("document_id", "reject_reason")
 

@@ -1,4 +1,4 @@
-"""Compares registered queries with their SQL oracles: ``python tests/check.py sf0.01 [name ...]``."""
+"""Compares registered queries with their SQL oracles: ``python tests/check.py sf0.01|folder [name ...]``."""
 
 from __future__ import annotations
 
@@ -55,7 +55,7 @@ def main() -> None:
     import __spark_entry__ as entry
     from pactlens.session import local_session
 
-    folder = f"/root/testdata/{sys.argv[1]}"
+    folder = sys.argv[1] if "/" in sys.argv[1] else f"/root/testdata/{sys.argv[1]}"
     spark, con = local_session(), connect(folder)
     names = [n for n in entry.queries() if not sys.argv[2:] or any(n.startswith(p) for p in sys.argv[2:])]
     failed = 0

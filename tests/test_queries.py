@@ -70,3 +70,21 @@ def test_result_does_not_depend_on_partitions(spark):
         assert rows(1) == rows(13)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.fixture(scope="module")
+def odd_lines(tmp_path_factory):
+    """The smallest tables, with blank lines, outer spaces, empty and null texts among the documents."""
+    import duckdb
+
+    folder = tmp_path_factory.mktemp("odd_lines")
+    duckdb.sql(f"""COPY (SELECT * REPLACE (CASE WHEN doc_id = 5 THEN '' WHEN doc_id = 7 THEN NULL WHEN doc_id = 9 THEN chr(10)
+        WHEN doc_id % 4 = 1 THEN replace(text, chr(10), chr(10) || chr(10)) WHEN doc_id % 4 = 2 THEN replace(text, chr(10), '  ' || chr(10) || ' ')
+        ELSE text || chr(10) || '   ' END AS text) FROM '{FOLDER}/documents.parquet') TO '{folder}/documents.parquet' (FORMAT parquet)""")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["s2_paged_source", "s8_quarantine", "c4_clean_text", "g10_clause_ids", "g11_page_location", "t4_assign_levels"])
+def test_queries_see_blank_lines_and_outer_spaces(spark, odd_lines, name):
+    verdict = compare(spark, connect(odd_lines), odd_lines, entry.queries()[name], entry.oracle_sql()[name])
+    assert verdict.startswith("ok"), verdict
