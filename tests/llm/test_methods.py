@@ -73,6 +73,19 @@ def test_base_spans(text):
     assert [s[:3] for s in personal_data.find(text) if s[0] in BASE] == plain_spans(text)
 
 
+def test_account_numbers_end_where_their_country_ends():
+    found = lambda t: [t[a:b] for k, a, b, _ in personal_data.find(t) if k == "iban"]
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for behind in ("", " BIC COBADEFFXXX", " USA", ".", " 7", "\nNEXT LINE", f" {british}"):
+        assert found(f"pay to {german}{behind}")[0] == german and found(f"x {british}{behind}")[0] == british
+    assert found(f"account {german} {british} DE89370400440532013000") == [german, british, "DE89370400440532013000"]
+    assert found("konto DE89 3704 0044 0532 0130 0") == found(f"konto {german}A") == found("A" + german) == found(german.lower()) == []
+    # A country that is not in the list: the longest end that holds.
+    number = next(f"XX{k:02d}ABCD12345678" for k in range(2, 99) if personal_data.mod97(f"XX{k:02d}ABCD12345678"))
+    assert found(f"bank {number}") == [number]
+    assert found("DE89" * 20000) == []
+
+
 def test_added_spans_need_checks_and_context():
     kinds = lambda t: [s[0] for s in personal_data.find(t)]
     assert "iban" in kinds("pay to DE89 3704 0044 0532 0130 00 now") and "iban" not in kinds("pay to DE88 3704 0044 0532 0130 00 now")
