@@ -3,7 +3,9 @@
 Rules decide the urls they fit.  They also seed the graph: a host most of whose pages are
 allowed is trusted, one most of whose pages are blocked is distrusted.  Trust is a
 personalised PageRank along the links between hosts, distrust one along the reversed links;
-a host is blocked where distrust exceeds trust by more than the threshold.
+a host is blocked where distrust exceeds trust by more than the threshold, both in units of what
+one seed begins with.  In these units a host's ranks depend only on the seeds that reach it, so
+hosts without a path to it, linked or seeds themselves, do not move its verdict.
 
 Links are the absolute ``href`` targets of the pages, summed to one weighted edge per pair of
 hosts before anything else, so a host with a third of all pages is one row.  Both ranks move
@@ -34,10 +36,10 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING, STEPS_PER_TABLE = 0.85, 4
-#: Distrust minus trust, in units of the mean rank 1 / hosts, above which a host is blocked:
-#: more than the restart alone would give every host if all were seeds.
-THRESHOLD = 1 - DAMPING
-#: In the same units: the most that steps not taken could still add to any host.
+#: Distrust minus trust, in units of what one seed begins with, above which a host is blocked.  The only
+#: host that links to a blocked one gets ``DAMPING`` of such a unit, each of two such hosts half of that.
+THRESHOLD = 0.5
+#: In units of the mean rank 1 / hosts: the most that steps not taken could still add to any host.
 TOLERANCE = 1e-6
 
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
@@ -143,9 +145,10 @@ def judged(
         linked.select("host", F.lit(False).alias("trusted"), F.lit(False).alias("distrusted"))
     ).groupBy("host").agg(F.max("trusted").alias("trusted"), F.max("distrusted").alias("distrusted"))
     hosts, hosts_path = written(hosts)
+    seeds = hosts.agg(F.count(F.when(F.col("trusted"), 1)).alias("t"), F.count(F.when(F.col("distrusted"), 1)).alias("d")).first()
     ranks = propagated(hosts, edges, damping=damping, tolerance=tolerance)
     forget(pages.sparkSession, edges_path, hosts_path)
-    worse = (F.col("distrust") - F.col("trust")) * ranks.count() > threshold
+    worse = (F.col("distrust") * seeds["d"] - F.col("trust") * seeds["t"]) / (1 - damping) > threshold
     verdicts = ranks.select(F.struct("host", "trust", "distrust", worse.alias("bad")).alias(out))
     rule = rule_of(host, path, rules)
     method = F.when(F.coalesce(F.col(f"{out}.bad"), F.lit(False)), "block").otherwise("allow")
