@@ -10,8 +10,10 @@ into lanes, and all lanes move together in numpy.
 
 The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text and ``BLOCK_WINDOWS``
 windows (one block for usual sizes; a larger item is a block of its own); each block is one
-more pass over the documents, and the table is written between passes, so any number of items
-is searched whole and no task or driver holds more than one block.
+more pass over the texts, so any number of items is searched whole and no task or driver holds
+more than one block.  All passes but the last write only what they hit, one narrow row per
+different text (its SHA-256, word ranges, items); the last one gets these rows by a join, a
+broadcast while they are counted small, and adds its own.
 
 Defined cases: a null or wordless document has no words and no hits; a null or wordless item
 has no windows; an item with a null id hits words but is not listed; repeated rows count as
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.llm.common import bound_batches, forget, fresh, give_back, written
@@ -37,6 +39,7 @@ WINDOW = 10
 BLOCK_BYTES, BLOCK_WINDOWS = 16 << 20, 1 << 18
 BUCKETS_PER_BLOCK = 64
 LANES, CHUNK_BYTES = 8192, 8 << 20
+BROADCAST_BYTES, SALTS = 16 << 20, 16
 HITS = "n_words bigint, hits array<bigint>, items array<string>"
 
 
@@ -219,19 +222,39 @@ def with_hits(
     out = fresh(docs, "contamination")
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t"), F.xxhash64(item_text_col, F.col(item_col).cast("string")).alias("h"))
     buckets, blocks = _blocks(rows, window, block_bytes, block_windows)
+    spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<bigint>"), F.array().cast("array<string>")
-    docs = docs.withColumn(out, F.struct(F.lit(0).cast("bigint").alias("n_words"), none[0].alias("hits"), none[1].alias("items")))
-    path = None
-    for b, (low, high) in enumerate(blocks):
-        if b:  # in one plan, a task would hold the blocks of all passes
-            before = path
-            docs, path = written(docs)
-            if before:
-                forget(docs.sparkSession, before)
+
+    def scan(low: int, high: int):
         items = [(r["i"], r["t"]) for r in rows.where(F.pmod("h", F.lit(buckets)).between(low, high)).select("i", "t").collect()]
-        scan = _pass(Benchmark(items, window))
-        docs = docs.withColumn(out, scan(F.col(text_col), F.col(f"{out}.hits"), F.col(f"{out}.items")))
-    return docs
+        return _pass(Benchmark(items, window))
+
+    paths = []
+    for block in blocks[:-1]:
+        found = docs.select(F.sha2(text, 256).alias("k"), scan(*block)(text, *none).alias("c")).where(F.size("c.hits") > 0)
+        paths.append(written(found.groupBy("k").agg(F.first("c").alias("c")))[1])
+    if not paths:
+        return docs.withColumn(out, scan(*blocks[-1])(F.col(text_col), *none))
+    before, _ = written(spark.read.parquet(*paths).groupBy("k").agg(
+        F.flatten(F.collect_list("c.hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("c.items"))).alias("items")
+    ))
+    forget(spark, *paths)
+    known = _with_known(docs, F.sha2(text, 256), before, out)
+    return known.withColumn(out, scan(*blocks[-1])(F.col(text_col), F.col(f"{out}.hits"), F.col(f"{out}.items")))
+
+
+def _with_known(docs: DataFrame, digest: Column, before: DataFrame, out: str, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` with a last column of the hits that earlier passes wrote for a text, null if none.
+
+    Beyond ``most_bytes`` the rows of one text are dealt over ``SALTS`` keys, so its copies do not meet in one task.
+    """
+    size = before.agg(F.sum(96 + 16 * F.size("hits") + F.octet_length(F.array_join("items", "")) + 32 * F.size("items"))).first()[0] or 0
+    held = before.select(F.struct("k", "hits", "items").alias(out))
+    if size <= most_bytes:
+        return docs.join(F.broadcast(held), digest == F.col(f"{out}.k"), "left")
+    salted = before.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(F.struct("k", "hits", "items", "salt").alias(out))
+    salt = F.pmod(F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]), F.lit(SALTS))
+    return docs.join(salted, (digest == F.col(f"{out}.k")) & (salt == F.col(f"{out}.salt")), "left")
 
 
 def n_hit(hits):
