@@ -3,7 +3,8 @@
 Two zstandard dictionaries are built, one from texts labelled good and one from texts
 labelled bad.  A text is compressed with each; the difference of the two sizes over their sum
 says which kind it resembles, and a logistic curve, fitted on labelled texts that the
-dictionaries have not seen, turns it into a probability.
+dictionaries have not seen, turns it into a probability.  The same difference says more in a long
+text, so its slope may grow with the logarithm of the length; length itself does not count.
 
 Fitting takes at most ``TRAIN_ROWS`` labels of each kind, the first in order of a hash of
 their id, and of their whole texts, in the same order, those before which less than
@@ -56,7 +57,7 @@ class Compressors:
         bad, good = np.array(sizes, float)
         length = np.log1p(np.fromiter(map(len, texts), float, len(texts)))
         apart = (bad - good) / (bad + good)
-        return np.stack([np.ones(len(texts)), apart, apart * length, length * (apart != 0)], axis=1)
+        return np.stack([np.ones(len(texts)), apart, apart * length], axis=1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.curve, -30, 30)))
@@ -102,7 +103,7 @@ def train(
     ordered = {q: [t for _, t in sorted(texts[q])] for q in texts}
     n_bad, n_good = (known.where(F.col("q") == q).count() for q in (0, 1))
     share = (n_good + 0.5) / (n_bad + n_good + 1) if n_bad + n_good else 0.5
-    flat = Compressors(None, np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0]))
+    flat = Compressors(None, np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     if min(len(v) for v in ordered.values()) < 20:
         return Constant(share)
     try:
@@ -123,7 +124,7 @@ class Constant(Compressors):
     """Without enough labels, the share of good ones is the score of all texts."""
 
     def __init__(self, share: float):
-        super().__init__(None, np.zeros(4))
+        super().__init__(None, np.zeros(3))
         self.share = share
 
     def scores(self, texts: list[bytes]) -> np.ndarray:

@@ -117,10 +117,42 @@ def test_url_filter_propagates_to_the_end(spark):
         want = new
     got = {r["judged"]["host"]: r["judged"] for r in url_filter.judged(spark.createDataFrame(rows, "url string, html string")).collect()}
     assert set(got) == set(want) and all(abs(got[h]["distrust"] - want[h]) * len(want) <= 1e-6 for h in want)
-    assert {h for h in got if got[h]["verdict"] == "block"} == {"bad.net"} | {h for h in want if want[h] * len(want) > 0.15}
+    assert {h for h in got if got[h]["verdict"] == "block"} == {h for h in want if want[h] / 0.15 > url_filter.THRESHOLD} > {"bad.net"}
     assert want["c13.org"] > 0 < got["c19.org"]["distrust"]
 
 
+def test_url_verdicts_do_not_depend_on_hosts_without_a_path(spark):
+    links = {"a.org": ["bad.net"], "b.org": ["a.org"], "good.com": ["both.org"], "both.org": ["worse.net"], "c.org": ["d.org"]}
+    links |= {f"many{k}.org": ["hub.net"] for k in range(20)}
+    rows = [(f"http://{h}/es/x", "") for h in ("bad.net", "worse.net", "hub.net")] + [(f"http://{h}/", "".join(f'<a href="http://{t}/">' for t in to)) for h, to in links.items()]
+    others = [(f"http://alone{k}.org/", "") for k in range(300)] + [(f"http://far{k}.net/es/", "") for k in range(5)] + [(f"http://far{k}.com/", "") for k in range(7)]
+    read = lambda rows: {r["judged"]["host"]: r["judged"] for r in url_filter.judged(spark.createDataFrame(rows, "url string, html string")).collect()}
+    few, many = read(rows), read(rows + others)
+    assert {h: r["verdict"] for h, r in few.items()} == {h: many[h]["verdict"] for h in few}
+    assert {h for h in few if few[h]["verdict"] == "block"} == {"bad.net", "worse.net", "hub.net", "a.org", "b.org"}
+    # Trust along the links, distrust against them, by plain iteration.
+    seeds = {"t": {"good.com"}, "d": {"bad.net", "worse.net", "hub.net"}}
+    hosts = {*links, *(t for to in links.values() for t in to)}
+    edges = [(s, t) for s, to in links.items() for t in to]
+    for name, moves in (("t", edges), ("d", [(t, s) for s, t in edges])):
+        out = {h: sum(a == h for a, _ in moves) for h in hosts}
+        rank = dict.fromkeys(hosts, 0.0)
+        for _ in range(300):
+            rank = {h: 0.15 * (h in seeds[name]) / len(seeds[name]) + 0.85 * sum(rank[a] / out[a] for a, b in moves if b == h) for h in hosts}
+        assert all(abs(few[h]["trust" if name == "t" else "distrust"] - rank[h]) < 1e-6 for h in few)
+
+
+def test_hits_of_benchmark_blocks_joined_by_salted_keys(spark, monkeypatch):
+    item = lambda k: " ".join(f"w{k}x{j}" for j in range(14))
+    benchmark = spark.createDataFrame([(f"q{k}", item(k)) for k in range(6)], "item_id string, text string")
+    docs = spark.createDataFrame([(k, item(k % 6) + (" and " + item(2) if k % 2 else ""), k % 5) for k in range(40)] + [(40, None, 1), (41, "", 1)], "k int, text string, contamination int")
+    read = lambda: sorted((r["k"], r["contamination"], tuple(r[-1]["hits"]), tuple(r[-1]["items"])) for r in decontaminate.with_hits(docs, benchmark, block_bytes=150).collect())
+    usual = read()
+    monkeypatch.setattr(decontaminate._with_known, "__defaults__", (0,))
+    assert read() == usual and len(usual) == 42 and sum(bool(h) for _, _, h, _ in usual) == 40
+    assert all(i == tuple(sorted({f"q{k % 6}", *(["q2"] if k % 2 else [])})) for k, _, _, i in usual if k < 40)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     assert compare(spark, connect(FOLDER), FOLDER, queries.QUERIES[name], queries.ORACLES[name]).startswith("ok")
