@@ -21,6 +21,7 @@ from pactlens.plans.ingest import ingest
 from pactlens.plans.oracles import lit, match, strip, words
 from pactlens.sources import documents as sources
 from pactlens.sources.store import DocumentStore
+from pactlens.sources.text_matrix import write_matrix
 from pactlens.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1152,6 +1153,21 @@ def _(spark, d):
     return metrics.confusion_matrix(_category_pairs(spark, d), rules.CATEGORIES + [rules.GENERAL])
 
 
+_MATRIX_LABELS = rules.CATEGORIES + [rules.GENERAL]
+_CELL = lambda c: f"' ' || CASE WHEN length(CAST({c} AS VARCHAR)) < 7 THEN lpad(CAST({c} AS VARCHAR), 7, ' ') ELSE CAST({c} AS VARCHAR) END"
+_FIRST_CELL = "CASE WHEN length(truth) < 24 THEN rpad(truth, 24, ' ') ELSE truth END"
+
+
+@register("s9_text_matrix", f"""
+    SELECT {_FIRST_CELL} || {" || ".join(_CELL(f'"{x}"') for x in _MATRIX_LABELS)} AS line
+    FROM ({_matrix("category_pairs", _MATRIX_LABELS)}) UNION ALL
+    SELECT {_FIRST_CELL} || {" || ".join(_CELL(lit(x)) for x in _MATRIX_LABELS)} FROM (SELECT 'truth' AS truth)""")
+def _(spark, d):
+    folder = scratch_folder(spark)
+    write_matrix(metrics.confusion_matrix(_category_pairs(spark, d), _MATRIX_LABELS), folder)
+    return spark.read.text(folder).withColumnRenamed("value", "line")
+
+
 @register("e1_confusion_totals", "SELECT truth, pred, count(*) AS n FROM level_pairs GROUP BY CUBE (truth, pred)")
 def _(spark, d):
     return metrics.confusion_totals(_level_pairs(spark, d))

@@ -1,4 +1,4 @@
-"""Document sources, validity, metadata, labels and sinks (S1-S5, S9); the store is in ``store``."""
+"""Document sources, validity, metadata, labels and sinks (S1-S5, S9); the store is in ``store`` (S6), matrices as text in ``text_matrix``."""
 
 from __future__ import annotations
 
@@ -133,9 +133,3 @@ def write_bucketed(rows: DataFrame, table: str, buckets: int = 64, path: str | N
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """Metric rows as JSON lines."""
     metrics.write.mode("overwrite").json(path)
-
-
-def confusion_text(matrix: DataFrame, label: str = "truth") -> DataFrame:
-    """One text line per row of a confusion matrix."""
-    cells = [F.lpad(F.col(f"`{c}`").cast("string"), 8, " ") for c in matrix.columns if c != label]
-    return matrix.select(label, F.concat(F.rpad(F.col(label), 24, " "), *cells).alias("line"))
