@@ -3,7 +3,12 @@
 Each stage takes the rows its predecessor kept, as reread from Parquet, and its decision
 takes effect: texts without a language go, one document of each group of near copies stays,
 documents with a benchmark passage go, sources are mixed to their weights (documents repeat),
-and the rest becomes token shards, of which the last stage returns the digest.
+and the rest becomes token shards, of which the last stage returns the digest.  The table of a stage
+is deleted when its successor is written; the token shards, which are the output, stay.
+
+Defined cases are those of the operators: a null or empty text has no letter and goes in the first
+stage, an empty table gives no rows, repeated rows are copies of each other, further columns of
+documents pass through up to the last stage.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from pactlens.functions.staging import scratch_folder  # noqa: E402
 from pactlens.llm import decontaminate, language_id, mixing, parity_join, token_output  # noqa: E402
-from pactlens.llm.common import table  # noqa: E402
+from pactlens.llm.common import forget, table  # noqa: E402
 
 #: Near copies share at least this part of their shingles of five words.
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
@@ -58,9 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = scratch_folder(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:  # the next table is written whole
+            forget(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
