@@ -66,3 +66,23 @@ def test_jaccard_join(spark, folder):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op6_jaccard_join(spark, folder).collect()}
     sets = {k: {tuple(w[i:i + 3]) for i in range(max(1, len(w) - 2))} if w else set() for k, t, _, _ in DOCS for w in [(t or "").split()]}
     assert got == {k: (len(s), {20: 0, 24: 1}.get(k, k)) for k, s in sets.items()}
+
+
+def test_pipeline_with_clashing_columns_a_long_text_and_nothing(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("odd_tables"))
+    long_text = " ".join(f"{w}{k % 977}x{k}" for k in range(60_000) for w in ("word",))
+    docs = [(k, t, l, s, "a", 1, "b", 2, "c") for k, t, l, s in [*FRESH, (30, long_text, "en", "a"), (31, "", "en", "a")]]
+    schema = "doc_id bigint, text string, lang string, source string, language string, contamination int, score string, h int, component_id string"
+    table = spark.createDataFrame(docs, schema)
+    spark.createDataFrame(ITEMS, "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
+    seen = []
+    for k, df in enumerate((table, table.limit(0))):
+        for _, stage in corpus_pipeline.STAGES:
+            out = f"{path}/stage{k}-{len(seen)}"
+            stage(spark, df, path).write.parquet(out)
+            df = spark.read.parquet(out)
+            seen.append(df.columns)
+        if k == 0:
+            got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in df.collect()}
+            assert got and 31 not in got and all(v == tokens(long_text if i == 30 else dict((d[0], d[1]) for d in FRESH)[i]) for i, v in got.items())
+    assert df.count() == 0 and all(c == table.columns for c in seen[:4] + seen[5:9])
