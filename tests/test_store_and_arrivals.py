@@ -74,3 +74,32 @@ def test_bucketed_texts_need_no_exchange(spark, tmp_path):
         assert found.count() == 80 and found.where(F.col("clause_index") == 2).count() == 40
     finally:
         spark.sql("DROP TABLE IF EXISTS bucketed_texts")
+
+
+def test_arriving_texts_do_not_pass_through_python(spark, tmp_path):
+    rows = [("a", "t", TEXT.format(1, 1)), ("a", None, TEXT.format(2, 2)), ("b", "t", " "), ("c", "t", TEXT.format(3, 3))]
+    batch = arrivals.checked(spark.createDataFrame(rows, arrivals.SCHEMA).withColumn("arrived_row", F.monotonically_increasing_id()))
+    first = arrivals.versions(batch, None)
+    known = first.select("document_id", "sha", "version").localCheckpoint()
+    assert {(r["document_id"], r["title"], r["version"]) for r in first.collect()} == {("a", None, 1), ("c", "t", 1)}
+    assert arrivals.versions(batch, known).count() == 0
+    again = arrivals.versions(batch.where("title is not null"), known)
+    assert [(r["document_id"], r["raw_text"], r["version"]) for r in again.collect()] == [("a", TEXT.format(1, 1), 2)]
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_what_is_known_outlasts_many_batches_and_a_batch_that_is_run_again(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    write = arrivals._write_batch(path)
+    batch = lambda k: arrivals.checked(spark.createDataFrame([(f"d{k}", "t", TEXT.format(k, k)), ("a", "t", TEXT.format(0, 0))], arrivals.SCHEMA))
+    whole, arrivals.WHOLE = arrivals.WHOLE, 2
+    try:
+        for k in (0, 1, 2, 2, 3, 4):
+            write(batch(k), k)
+        known = {r["document_id"]: r["version"] for r in arrivals._known(spark, path, 5).collect()}
+        assert known == {"a": 1, **{f"d{k}": 1 for k in range(5)}}
+        found = {(r["document_id"], r["batch"]) for r in arrivals.read_clauses(spark, path).collect()}
+        assert found == {("a", 0), *[(f"d{k}", k) for k in range(5)]}
+    finally:
+        arrivals.WHOLE = whole
