@@ -276,3 +276,37 @@ def test_exposure_scores(spark):
     counts = spark.createDataFrame(rows, "document_id string, n_clauses int, n_high int, n_medium int, n_low int, n_info int, n_relationships int")
     got = {r["document_id"]: (r["score"], r["verdict"]) for r in summary.exposure(counts).collect()}
     assert got == {"none": (8, "Standard Agreement"), "high": (65, "Critical Traps Detected"), "medium": (60, "Moderate Caution")}
+
+
+def test_category_scores_are_worked_out_once(spark):
+    """A filter that Spark infers from unnesting the scores must not repeat the work that made them."""
+    clauses = spark.createDataFrame([("c1", "We may share your personal data."), ("c2", None)], "clause_id string, text string")
+    scored = classify.category_scores(clauses.withColumn("vec", V.encode(F.col("text"))))
+    rows = scored.select("clause_id", F.inline("scores"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.lower().count("zip_with(") <= 2
+    assert rows.where("clause_id = 'c1'").count() == len(rules.CATEGORIES)
+
+
+def test_words_of_texts_are_coded_in_python(spark):
+    """Null, empty and repeated texts, words beyond the limits of what is kept; no hashing per word in the plan."""
+    texts = ["Pay the fee, pay the FEE", "", None, "x" * 80 + " word", "Pay the fee, pay the FEE"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").coalesce(1).withColumn("vec", V.encode(F.col("text")))
+    assert "md5" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: r["vec"] for r in rows.collect()}
+    assert [got[k] for k in range(5)] == [[float(x) for x in v] for v in V.encode_phrases([t or "" for t in texts])]
+
+
+def test_reasons_name_the_first_three_shared_words(spark):
+    """Two shared words make a reason, one makes none; the plan looks the words up once."""
+    feature = "struct<cat:int,friends:int,kw:long,flags:int,i:int,refs:array<string>,sec:string,section_title:string>"
+    side = lambda kw, i: (0, 0, kw, 0, i, [], None, "t")
+    pairs = spark.createDataFrame(
+        [("d", 1, 2, [], 0.0, side(0b11111, 1), side(0b11110, 2)), ("d", 1, 3, [], 0.0, side(0b11, 1), side(0b110, 3))],
+        f"document_id string, i int, j int, cross_refs array<string>, cos double, a {feature}, b {feature}",
+    )
+    rows = relate.candidate_reasons(pairs)
+    got = {r["j"]: r["reasons"] for r in rows.collect()}
+    assert got[2] == ["Shared domain concepts: " + ", ".join(rules.DOMAIN_KEYWORDS[1:4])]
+    assert got[3] == ["Document-level candidate pairing"]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count(rules.DOMAIN_KEYWORDS[-1]) <= 1
