@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactlens import rules
-from pactlens.functions import needles, vectors
+from pactlens.functions import needles, text, vectors
 from pactlens.operators import pair_blocks, relate
 
 TEXTS = ["Fees are final", "fee", "fe", None, "", "cancel cancellation", "ends in not", "ice then", "dıspute i̇ upon", "a fee", "é 你 fees", "x" * 3000 + "upon"]
@@ -35,6 +35,18 @@ def test_features_look_for_all_strings_in_one_call(spark):
     assert [r["refs"] for r in found.orderBy("clause_index").collect()][1:] == [[], [], ["2", "2"]]
 
 
+def test_anchors_found_in_one_pass_hide_no_match(spark):
+    patterns = list(rules.ANCHORS)
+    words = sorted({a for anchors in rules.ANCHORS.values() for a in anchors}) + ["these terms", "your", "to", "the", "Section 3", "a"]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(200)]
+    texts += [t.translate(str.maketrans({"s": "ſ", "k": "K", "i": "İ"})) for t in texts[:60]] + [t.upper() for t in texts[:60]] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("marks", needles.anchors(F.col("text"), patterns))
+    hit = lambda p, may: F.coalesce(text.matches(F.col("text"), p, may=may), F.lit(False)).cast("int")
+    lost = [F.sum(hit(p, None) - hit(p, needles.may_match(F.col("marks"), patterns, p))).alias(f"p{n}") for n, p in enumerate(patterns)]
+    assert set(rows.agg(*lost).first()) == {0}
+
+
 def test_words_of_a_batch_are_counted_as_those_of_single_texts(monkeypatch):
     texts = ["Aa bb-bb c", None, "", "éaa straße", "x" * 50 + " yy", "zz\x0bzz"] * 5
     texts = [t and t.lower() for t in texts]
