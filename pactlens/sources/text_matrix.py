@@ -2,7 +2,7 @@
 
 ``rows.write.format("text_matrix").mode("overwrite").save(path)`` writes one line per row, the
 first column to the left and the others to the right, under one line with their names.  Tasks
-write to a folder of their own job below ``path``; the driver moves the files of the successful
+write to a folder of their own job below ``path``, which the driver makes; the driver moves the files of the successful
 attempts into place when all tasks are done, so a failed or repeated task leaves nothing behind.
 ``path`` is any place that pyarrow can open on all executors.
 
@@ -27,6 +27,8 @@ from pyspark.sql.types import Row, StructType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FIRST, OTHERS = 24, 8
+#: Attempts to delete the folder of an aborted job while its last tasks end.
+ABORTS = 20
 
 
 def matrix_line(cells: list) -> str:
@@ -41,6 +43,12 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _is_folder(files, path: str) -> bool:
+    from pyarrow import fs
+
+    return files.get_file_info(path).type == fs.FileType.Directory
+
+
 @dataclass
 class Part(WriterCommitMessage):
     number: int
@@ -59,7 +67,8 @@ class TextMatrixWriter(DataSourceWriter):
         task = TaskContext.get()
         name = f"{task.partitionId():05d}-{task.taskAttemptId()}"
         files, staged = _open(self.staged)
-        files.create_dir(staged, recursive=True)
+        if not _is_folder(files, staged):
+            raise FileNotFoundError(f"{staged} is gone: the job has been aborted")
         with files.open_output_stream(f"{staged}/{name}") as out:
             for row in iterator:
                 out.write((matrix_line(list(row)) + "\n").encode())
@@ -85,11 +94,15 @@ class TextMatrixWriter(DataSourceWriter):
             pass
 
     def abort(self, messages: list[Part | None]) -> None:
-        from pyarrow import fs
-
         files, staged = _open(self.staged)
-        if files.get_file_info(staged).type == fs.FileType.Directory:
-            files.delete_dir(staged)
+        for left in reversed(range(ABORTS)):
+            if not _is_folder(files, staged):
+                break
+            try:
+                files.delete_dir(staged)
+            except OSError:  # a task that still ran has opened a file meanwhile; without the folder none can
+                if not left:
+                    raise
 
 
 class TextMatrix(DataSource):
@@ -98,7 +111,10 @@ class TextMatrix(DataSource):
         return "text_matrix"
 
     def writer(self, schema: StructType, overwrite: bool) -> TextMatrixWriter:
-        return TextMatrixWriter(self.options["path"], schema.fieldNames(), overwrite)
+        made = TextMatrixWriter(self.options["path"], schema.fieldNames(), overwrite)
+        files, staged = _open(made.staged)
+        files.create_dir(staged, recursive=True)  # by the driver: a task that outlives an abort does not bring it back
+        return made
 
 
 def write_matrix(matrix: DataFrame, path: str) -> None:

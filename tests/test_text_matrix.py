@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from pactlens.sources import text_matrix
 from pactlens.sources.text_matrix import TextMatrix, matrix_line, write_matrix
 
 
@@ -46,3 +47,18 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         bad.write.format("text_matrix").mode("overwrite").save(path)
     assert (sorted(os.listdir(path)), lines(path)) == before
+
+
+def test_a_task_after_the_abort_leaves_nothing(monkeypatch, tmp_path):
+    from types import SimpleNamespace
+
+    from pyspark.sql.types import StructType
+
+    path = str(tmp_path / "late")
+    monkeypatch.setattr(text_matrix.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 7))
+    writer = TextMatrix({"path": path}).writer(StructType().add("truth", "string"), True)
+    writer.write(iter([("a",)]))
+    writer.abort([None])
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([("b",)]))
+    assert os.listdir(path) == []
