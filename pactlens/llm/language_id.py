@@ -42,6 +42,8 @@ PENALTY, WEIGHT = 6.0, 1.0
 BLOCK = 128
 #: Words x labels x labels that are solved at once, and words at most; bytes of the scored words that are kept.
 CELLS, PIECE_WORDS, KEPT_BYTES = 1 << 24, 1 << 18, 64 << 20
+#: Words whose letter pairs and triples are held at once: some 100 bytes a letter.
+GRAM_WORDS = 1 << 13
 WORD = re.compile(r"[^\W\d_]+")
 NONE = "und"
 
@@ -203,8 +205,8 @@ class LanguageModel:
         """The scores of words, a row each; new ones are worked out together."""
         if len(self.index) > self.kept:
             self.clear()
-        new = [w for w in set(words) if w not in self.index]
-        if new:
+        unknown = [w for w in set(words) if w not in self.index]
+        for new in (unknown[k:k + GRAM_WORDS] for k in range(0, len(unknown), GRAM_WORDS)):
             bucket, owner, script = grams(new)
             scored = np.stack([np.bincount(owner, row[bucket], len(new)) for row in self.logs], axis=1)
             allowed = self.writes[:, script].T
@@ -302,7 +304,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         for batch in give_back(batches):
             for language, texts in batch.groupby("l")["t"]:
                 for text in texts:
-                    for _, words in pieces_of(text.lower(), PIECE_WORDS):
+                    for _, words in pieces_of(text.lower(), GRAM_WORDS):
                         bucket, _, script = grams(words)
                         held = sums.setdefault(language, np.zeros((1 << BITS) + len(SCRIPT_NAMES)))
                         held[:1 << BITS] += np.bincount(bucket, minlength=1 << BITS)
@@ -323,7 +325,7 @@ def language(text: Column, model: LanguageModel) -> Column:
 
     @F.pandas_udf("lang string, score double, spans array<struct<first:int,last:int,lang:string>>")
     def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in give_back(batches):
+        for texts in give_back(batches, done=model.clear):
             rows = model.label_all(texts)
             yield pd.DataFrame({
                 "lang": [r[0] for r in rows], "score": [r[1] for r in rows],

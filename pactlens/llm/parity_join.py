@@ -400,11 +400,15 @@ def representatives(docs: DataFrame, *, width: int, num: int, den: int, id_col:
 
 
 def signature_hash(text: Column, width: int) -> Column:
-    """The hash of a text's set, null for an empty one."""
+    """The hash of a text's set, null for an empty one.
+
+    Spark works it out once a row: a filter on a deterministic function is moved to the scan with a copy
+    of the function, and a task with two of them takes two Python workers, which then stay.
+    """
 
     @F.pandas_udf("bigint")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in give_back(batches):
             yield pd.Series([set_hash(s) if len(s) else None for chunk in _chunks(texts) for s in shingle_sets(chunk, width)], dtype="Int64")
 
-    return hashed(text)
+    return hashed.asNondeterministic()(text)

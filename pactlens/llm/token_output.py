@@ -33,6 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHARD_SCHEMA = "part int, shard int, part_start bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, payload binary"
 #: Tokens at which a shard is closed: about 5 MB of payload, 12 MB of ids, some 60 MB while it is encoded.
 SHARD_TOKENS = 3_000_000
+#: What the names of the cached encoders of a worker begin with.
+ENCODERS = "byte_level:"
 
 
 def encoder_for(vocabulary: str) -> ByteLevelEncoder:
@@ -45,7 +47,7 @@ def encoder_for(vocabulary: str) -> ByteLevelEncoder:
 
         return ByteLevelEncoder(public_tokenizers.path(vocabulary))
 
-    return worker_cache(f"byte_level:{vocabulary}", make)
+    return worker_cache(ENCODERS + vocabulary, make)
 
 
 def write_token_shards(
@@ -68,7 +70,7 @@ def write_token_shards(
             kinds = {"part": pa.int32(), "shard": pa.int32(), "part_start": pa.int64(), "n_tokens": pa.int64(), "doc_ids": pa.list_(pa.int64()), "doc_tokens": pa.list_(pa.int64()), "payload": pa.binary()}
             return pa.RecordBatch.from_pydict(row, schema=pa.schema(list(kinds.items())))
 
-        for batch in give_back(batches):
+        for batch in give_back(batches, ENCODERS):
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 texts.append(encoder.encode(text.as_py() or "") + end)
                 ids.append(ident)
@@ -101,7 +103,7 @@ def read_token_shards(spark: SparkSession, path: str, *, with_ids: bool = False)
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in give_back(batches):
+        for batch in give_back(batches, ENCODERS):
             for k in range(batch.num_rows):
                 start, doc_ids, lengths, payload = (batch.column(c)[k].as_py() for c in range(4))
                 ids = decode_shard(payload)

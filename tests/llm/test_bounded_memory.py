@@ -1,10 +1,11 @@
 """Long texts and many languages in bounded memory, with the results of the plain way."""
 
+import sys
 import tracemalloc
 
 import numpy as np
 
-from pactlens.llm import language_id, token_counts
+from pactlens.llm import common, language_id, parity_join, token_counts
 
 
 def model(languages: int) -> language_id.LanguageModel:
@@ -60,3 +61,36 @@ def test_cache_of_chunks_is_bounded_by_bytes(monkeypatch):
     for text in texts:
         assert counter.count(text) == counter.library(text)
         assert counter.held <= 20_000 and all(len(c) <= token_counts.KEPT_LETTERS for c in counter)
+
+
+def test_new_words_are_scored_in_slices(monkeypatch):
+    words = sorted({f"{w}{chr(0x61 + k % 26)}" * 4 for k, w in enumerate(language_id.words_of(text_of(30_000)))})
+    peaks, scores = [], []
+    for size in (1 << 20, 1 << 8):
+        monkeypatch.setattr(language_id, "GRAM_WORDS", size)
+        some = model(4)
+        tracemalloc.start()
+        scores.append(some.rows(words))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert (scores[0] == scores[1]).all() and peaks[1] * 3 < peaks[0]
+
+
+def test_a_worker_drops_the_caches_of_other_operators():
+    common.worker_cache("one:a", list).append(1)
+    common.worker_cache("two:b", list)
+    held, ended = [], []
+    for _ in common.give_back(iter([1]), "one:", done=lambda: ended.append(True)):
+        held = sorted(n for n in vars(sys.modules["_pactlens_worker_cache"]) if not n.startswith("__"))
+        assert not ended
+    assert held == ["one:a"] and common.worker_cache("one:a", list) == [1] and ended
+    list(common.give_back(iter([])))
+    assert common.worker_cache("one:a", list) == []
+
+
+def test_a_task_of_the_representatives_takes_one_python_worker(spark):
+    docs = spark.createDataFrame([(k, f"some words of text {k % 2}") for k in range(4)] + [(9, None), (None, " ")], "doc_id long, text string")
+    found = parity_join.representatives(docs, width=5, num=80, den=100)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # a branch each: rows with shingles, rows without
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in found.collect()) == [(False, 0), (False, 1), (False, 9), (True, 0)]
