@@ -4,6 +4,9 @@ The pre-tokenizer never joins what stands before and after a space that a non-sp
 follows, so the ids of a text are those of its space-led chunks in order.  Every distinct
 chunk is encoded by the library once per worker and kept; the cache is emptied when it holds
 its budget of bytes, and long chunks (texts without spaces) are not kept.
+
+Texts of Latin letters only, on whose classes all Unicode versions agree, are cut into the
+pre-tokens themselves: a word is then one entry, whatever marks or line breaks follow it.
 """
 
 from __future__ import annotations
@@ -17,25 +20,30 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE_BEFORE_WORD = re.compile(r" (?=\w)")
+#: The pre-tokenizer's pattern up to U+024F, by lists of its letters, numbers, white space and the rest; what lies beyond comes last.
+_LATIN = [chr(c) for c in range(0x250)]
+_L = "".join(c for c in _LATIN if c.isalpha())
+_N = "0123456789²³¹¼½¾"
+_S = "\t\n\x0b\x0c\r \x85\xa0"
+_REST = re.escape("".join(c for c in _LATIN if c not in _L + _N + _S))
+PRE_TOKENS = re.compile(rf" ?[{_L}]+|'(?:[sdmt]|ll|ve|re)| ?[{_N}]+| ?[{_REST}]+|[{_S}]+(?![^{_S}])|[{_S}]+|[^{_L}{_N}{_S}{_REST}]+")
 #: Bytes that a cache of chunks may hold, those of one entry besides its letters and ids, and the longest chunk kept.
-KEPT_BYTES, ENTRY_BYTES, KEPT_LETTERS = 128 << 20, 170, 64
+KEPT_BYTES, ENTRY_BYTES, KEPT_LETTERS = 256 << 20, 170, 64
 
 
 class _Irregular(Exception):
-    """A chunk that is empty or starts with white space."""
+    """A chunk that is empty or starts with white space, or a letter beyond U+024F."""
 
 
-class _Chunks(dict):
-    """Chunk to its ids as little-endian unsigned 32-bit integers, encoded at first use."""
+class _Kept(dict):
+    """Pre-token to its ids as little-endian unsigned 32-bit integers, encoded at first use."""
 
-    def __init__(self, encode, lead: str):
+    def __init__(self, encode):
         super().__init__()
-        self.encode, self.lead, self.held = encode, lead, 0
+        self.encode, self.held = encode, 0
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.lead and (not chunk or chunk[0].isspace()):
-            raise _Irregular
-        ids = self.encode(self.lead, chunk)
+        ids = self.encode(chunk)
         if len(chunk) <= KEPT_LETTERS:
             self.held += ENTRY_BYTES + 4 * len(chunk) + len(ids)
             if self.held > KEPT_BYTES:
@@ -45,6 +53,19 @@ class _Chunks(dict):
         return ids
 
 
+class _Chunks(_Kept):
+    """The same of chunks that follow ``lead``."""
+
+    def __init__(self, encode, lead: str):
+        super().__init__(lambda chunk: encode(lead, chunk))
+        self.lead = lead
+
+    def __missing__(self, chunk: str) -> bytes:
+        if self.lead and (not chunk or chunk[0].isspace()):
+            raise _Irregular
+        return super().__missing__(chunk)
+
+
 class ByteLevelEncoder:
     """``encode(text)`` equals the library's ids of the whole text without added tokens."""
 
@@ -60,6 +81,10 @@ class ByteLevelEncoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.stand_in = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.four = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values(), default=0))]
+        pre = self.tokenizer.pre_tokenizer
+        self.known_pattern = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and self.tokenizer.normalizer is None
+        self.pre_tokens = _Kept(self._latin)
         self.after_space = _Chunks(self._chunk, " ")
         self.at_start = _Chunks(self._chunk, "")
 
@@ -69,7 +94,13 @@ class ByteLevelEncoder:
     def _pre_token(self, text: str) -> bytes:
         """The ids of a text that is one pre-token."""
         mapped = text.encode().decode("latin-1").translate(self.stand_in)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped))
+        four = self.four
+        return b"".join([four[t.id] for t in self.model.tokenize(mapped)])
+
+    def _latin(self, text: str) -> bytes:
+        if text[-1] > "ɏ":
+            raise _Irregular
+        return self._pre_token(text)
 
     def _chunk(self, lead: str, chunk: str) -> bytes:
         cache = self.after_space if lead else self.at_start
@@ -89,6 +120,11 @@ class ByteLevelEncoder:
         for special in self.added:
             if special in text:
                 return self.library(text)
+        if self.known_pattern:
+            try:
+                return b"".join(map(self.pre_tokens.__getitem__, PRE_TOKENS.findall(text)))
+            except _Irregular:
+                pass
         first, *chunks = text.split(" ")
         try:
             if not first and text:

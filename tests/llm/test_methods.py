@@ -40,6 +40,17 @@ def test_tokens_of_random_texts(text):
     assert PIECES.count(text) == len(MODEL.encode(text))
 
 
+def test_words_with_runs_of_marks_need_no_whole_encoding(monkeypatch):
+    words = [f"wé{chr(0x61 + a)}{chr(0x61 + b)}" for a in range(20) for b in range(20)]
+    texts = [" ".join(w + marks for w in words) for marks in ("###", ".&&&", "!!", "_'", ",")] + [" ".join(f"{k}%" for k in range(400))]
+    encoder = ByteLevelEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    asked, library = [], encoder.library
+    monkeypatch.setattr(encoder, "library", lambda text: (asked.append(text), library(text))[1])
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(asked) < 20
+
+
 def test_shards_round_trip_and_notice_damage():
     rng = np.random.default_rng(1)
     for ids in [*(rng.zipf(1.2, n) % 50257 for n in (0, 1, 127, 129, 5000, 70000)), np.full(1000, 7), rng.integers(0, 2**32, 3000, dtype=np.uint64)]:
