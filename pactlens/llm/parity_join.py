@@ -6,7 +6,7 @@ most the size of the symmetric difference.  Sets of Jaccard similarity of at lea
 in at most d = (1 - t) / (1 + t) * (a + b) shingles.  Sketches of one size band are cut into
 more than d parts, so two linked sets agree on a part (pigeonhole); the parts are the keys of
 the join.  A narrow sketch of 256 bits then drops candidates whose distance already exceeds
-d, a sketch as wide as the sets demand (two bits a shingle or more) drops most of the rest,
+d, inside the last join also one of a bit or more a shingle, a sketch as wide as the sets demand (two bits a shingle or more) drops most of the rest,
 and the sets themselves decide.
 
 Equal sets are merged before all this.  Within the bucket of a key no pairs are listed:
@@ -17,6 +17,11 @@ Equal sets are merged before all this.  Within the bucket of a key no pairs are
 2. then members of different components of a bucket are compared with each other, so a
    large group of near copies, one component by then, costs nothing more.
 
+The parts of long sets that hold nothing but shingles of a passage many sets have make large
+buckets.  Linked sets agree on more parts than are spare, so in any order that all sets share
+they still agree on one when each leaves out as many of its last parts as are spare (the prefix
+filter).  The order is by members of the bucket, empty parts last: a set leaves its largest buckets.
+
 No bucket, band or partner is capped.  The number of comparisons in step 2 is bounded by the
 false candidates of the sketches, not by a limit.  Empty parts would collide most; a set
 gives its empty parts only if it has more of them than the band has spare parts, so that the
@@ -50,6 +55,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Text that is turned into shingles at once; numpy holds about 60 bytes for each of its letters.
 CHUNK_BYTES = 1 << 19
 GROWTH = 1.25
+#: One part more for so many shingles in which linked sets may differ, to leave large buckets out.
+SPARE_OF = 24
+#: A row of the last join carries at most so many bits of its set.
+MIDDLE_BITS = 1 << 13
 TURNS, WORTH, FIRST_KEYS = 4, 0.8, 16
 BROADCAST_IDS = 3_000_000
 SEEN = 1 << 18
@@ -135,14 +144,18 @@ class Bands:
         d = self.distance(most, most)
         if not d:
             return 0, 0
-        spare = 1 + int(2 * d * np.exp(-int(self.starts[band]) * self.num / self.den / (d + 2)))
+        spare = 1 + d // SPARE_OF + int(2 * d * np.exp(-int(self.starts[band]) * self.num / self.den / (d + 2)))
         return d + 1 + spare, spare
 
     def keys(self, shingles: np.ndarray) -> np.ndarray:
         """The part keys of a set: a hash of band, part and the parity pattern of the part."""
+        return self.keys_and_leave(shingles)[0]
+
+    def keys_and_leave(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part keys, and beside each how many keys of its band the set may leave out, doubled, plus 1 in odd bands."""
         with np.errstate(over="ignore"):
             running = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)))])
-            out = []
+            out, leave = [], []
             for band in self.of(len(shingles)):
                 k, spare = self.parts(band)
                 if not k:
@@ -153,8 +166,10 @@ class Bands:
                 pattern = running[cut[1:]] ^ running[cut[:-1]]
                 code = mix(pattern + mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 32)))
                 full = cut[1:] > cut[:-1]
-                out.append(code[full] if k - int(full.sum()) <= spare else code)
-            return np.concatenate(out) if out else np.empty(0, np.uint64)
+                empty = k - int(full.sum())
+                out.append(code[full] if empty <= spare else code)
+                leave.append(np.full(len(out[-1]), 2 * max(0, spare - empty) + band % 2, np.int32))
+            return (np.concatenate(out), np.concatenate(leave)) if out else (np.empty(0, np.uint64), np.empty(0, np.int32))
 
 
 def narrow_sketch(shingles: np.ndarray) -> np.ndarray:
@@ -163,6 +178,12 @@ def narrow_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
+def middle_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bits in integers, the least power of two that is the size of the set or more, from 256 to MIDDLE_BITS."""
+    bits = min(MIDDLE_BITS, max(256, 1 << (len(shingles) - 1).bit_length()))
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view("<i8")
+
+
 def wide_sketch(shingles: np.ndarray) -> bytes:
     """Parity bits of a set, a power of two that is at least twice its size (and 256)."""
     bits = max(256, 1 << (2 * len(shingles) - 1).bit_length())
@@ -212,13 +233,13 @@ def signature(text: Column, width: int) -> Column:
 
 
 def _keys(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(key, h) of every set of the text column ``t``; a task names a set it meets again only now and then."""
+    """(key, h, leave) of every set of the text column ``t`` (``Bands.keys_and_leave``); a task names a set it meets again only now and then."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands, seen = Bands(num, den, 1 << 12), set()
         for batch in give_back(batches):
             for chunk in _chunks(batch["t"]):
-                hashes, keys = [], []
+                hashes, keys, leave = [], [], []
                 for s in shingle_sets(chunk, width):
                     if not len(s) or (h := set_hash(s)) in seen:
                         continue
@@ -226,17 +247,19 @@ def _keys(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                         bands = Bands(num, den, len(s) * 4)
                     seen.add(h)
                     hashes.append(h)
-                    keys.append(bands.keys(s).view(np.int64))
+                    codes, left = bands.keys_and_leave(s)
+                    keys.append(codes.view(np.int64))
+                    leave.append(left)
                 if len(seen) > SEEN:
                     seen.clear()
                 if keys:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "h": np.repeat(np.array(hashes, np.int64), [len(k) for k in keys])})
+                    yield pd.DataFrame({"key": np.concatenate(keys), "h": np.repeat(np.array(hashes, np.int64), [len(k) for k in keys]), "leave": np.concatenate(leave)})
 
-    return docs.select("t").mapInPandas(made, "key bigint, h bigint")
+    return docs.select("t").mapInPandas(made, "key bigint, h bigint, leave int")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """h, n, wide (its wide sketch), shingles (sorted 64-bit integers) of the text column ``t``."""
+    """h, n, middle and wide (its sketches), shingles (sorted 64-bit integers) of the text column ``t``."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in give_back(batches):
@@ -244,10 +267,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [s for s in shingle_sets(chunk, width) if len(s)]
                 yield pd.DataFrame({
                     "h": [set_hash(s) for s in sets], "n": [len(s) for s in sets],
-                    "wide": [wide_sketch(s) for s in sets], "shingles": [s.tobytes() for s in sets],
+                    "middle": [middle_sketch(s) for s in sets], "wide": [wide_sketch(s) for s in sets], "shingles": [s.tobytes() for s in sets],
                 })
 
-    return docs.select("t").mapInPandas(made, "h bigint, n bigint, wide binary, shingles binary")
+    return docs.select("t").mapInPandas(made, "h bigint, n bigint, middle array<bigint>, wide binary, shingles binary")
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -293,6 +316,17 @@ def _possible(na: Column, nb: Column, sa: Column, sb: Column, num: int, den: int
     return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & (differ * (den + num) <= (na + nb) * (den - num))
 
 
+def _near(na: Column, nb: Column, ma: Column, mb: Column, num: int, den: int) -> Column:
+    """Middle sketches allow the link; sizes of possible partners make one at most twice as long, which is folded."""
+    length = F.least(F.size(ma), F.size(mb))
+
+    def folded(m: Column) -> Column:
+        return F.when(F.size(m) > length, F.zip_with(F.slice(m, 1, length), F.slice(m, length + 1, length), lambda x, y: x.bitwiseXOR(y))).otherwise(m)
+
+    apart = F.zip_with(folded(ma), folded(mb), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(apart, F.lit(0), lambda x, y: x + y) * (den + num) <= (na + nb) * (den - num)
+
+
 def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
     """Per row: i (the id), n, h (its set), label (smallest set hash that links reach); paths to forget.
 
@@ -314,7 +348,9 @@ def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "d
     # One exchange by key serves the removal of repeats and the count; a task sent a set once, however often it met it.
     buckets = _keys(rows, width, num, den).repartition("key").dropDuplicates(["key", "h"])
     # Buckets of one member are most of the table and end here.
-    shared = stage(buckets.selectExpr("key", "h", f"count(*) over ({in_bucket}) as members").where("members > 1").drop("members"))
+    met = stage(buckets.selectExpr("key", "h", "leave", f"count(*) over ({in_bucket}) as members").where("members > 1"))
+    largest = Window.partitionBy("h", F.col("leave") % 2).orderBy(F.desc("members"), "key")
+    shared = stage(met.withColumn("nth", F.row_number().over(largest)).where("nth > leave div 2").select("key", "h"))
     merged = known.groupBy("h").agg(F.min("i").alias("i"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     traits = stage(merged.join(shared.select("h").distinct(), "h", "left_semi"))
     sets_of = traits.select("h")
@@ -356,10 +392,12 @@ def classes(docs: DataFrame, *, width: int, num: int, den: int, id_col: str = "d
     # A pair is left to the bucket of a smaller common key where the first keys of both show one;
     # the smallest common key always lists it.
     own_keys = open_buckets.withColumn("nth", F.row_number().over(Window.partitionBy("h").orderBy("key"))).where(F.col("nth") <= FIRST_KEYS).groupBy("h").agg(F.collect_list("key").alias("keys"))
-    mixed = stage(open_buckets.join(own_keys, "h").join(traits.select("h", "n", "sketch"), "h"))
-    sides = [mixed.select("key", F.col("h").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"), F.col("keys").alias(f"keys{x}")) for x in "ab"]
+    mixed = stage(open_buckets.join(own_keys, "h").join(traits.select("h", "n", "sketch"), "h").join(sets.select("h", "middle"), "h"))
+    sides = [mixed.select("key", F.col("h").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"), F.col("keys").alias(f"keys{x}"), F.col("middle").alias(f"m{x}")) for x in "ab"]
     first_in_common = F.coalesce(F.array_min(F.array_intersect("keysa", "keysb")) >= sides[0]["key"], F.lit(True))
-    across = sides[0].join(sides[1], (sides[0]["key"] == sides[1]["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & possible & first_in_common)
+    # A sketch of 256 bits tells nothing about sets of more than some 600 shingles.
+    near = _near(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), num, den)
+    across = sides[0].join(sides[1], (sides[0]["key"] == sides[1]["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & possible & first_in_common & near)
     rest = across.select("a", "b", "la", "lb").distinct().join(tried, ["a", "b"], "left_anti")
     more = stage(_verified(stage(_close(rest, sets, num, den)), sets, num, den))
     labels, path = components(links.unionByName(more.select("la", "lb")), "la", "lb")

@@ -1,6 +1,7 @@
 """The helpers of the corpus operators against plain versions."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +9,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pactlens.llm import decontaminate, exact_dedup, language_id, parity_join, personal_data, rans
@@ -198,3 +200,43 @@ def test_numbers_are_no_letters():
     assert language_id.words_of("½ ² ① Ⅳ 12 m²s _É 一二") == ["m", "s", "é", "一二"]
     model = language_id.LanguageModel(["aa", "bb"], np.ones((2, 1 << language_id.BITS)), np.ones((2, len(language_id.SCRIPT_NAMES))))
     assert [r[0] for r in model.label(["½ ² 12", "½ a"])] == ["und", "aa"]
+
+
+def test_linked_sets_meet_without_their_largest_buckets():
+    """Whatever the order of the keys, and a common passage makes few buckets of sets that share nothing else."""
+    rng, bands = np.random.default_rng(9), parity_join.Bands(80, 100, 10000)
+
+    def kept(s, members):
+        keys, leave = bands.keys_and_leave(s)
+        out = []
+        for odd in (0, 1):
+            own = sorted(keys[leave % 2 == odd].tolist(), key=lambda k: (-members(k), k))
+            out += own[int(leave[leave % 2 == odd].max(initial=0)) // 2:]
+        return set(out)
+
+    for n in (5, 30, 200, 900, 3000):
+        for _ in range(20):
+            s = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([s[rng.permutation(len(s))[int(len(s) * 0.1) + 1:]], rng.integers(0, 2**64, int(len(s) * 0.1), dtype=np.uint64)]))
+            both = len(np.intersect1d(s, b))
+            if 100 * both >= 80 * (len(s) + len(b) - both):
+                salt = int(rng.integers(1 << 62))
+                assert kept(s, lambda k: (k ^ salt) % 7) & kept(b, lambda k: (k ^ salt) % 7)
+    passage = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 2**64, 540, dtype=np.uint64)])) for _ in range(400)]
+    members = Counter(k for s in sets for k in bands.keys(s).tolist())
+    pairs = lambda counts: sum(c * (c - 1) for c in counts.values())
+    assert pairs(members) > 0
+    assert pairs(Counter(k for s in sets for k in kept(s, members.__getitem__))) * 20 < pairs(members)
+
+
+def test_the_last_join_tells_long_sets_apart(spark):
+    rng, rows, want = np.random.default_rng(10), [], []
+    for n, m, both in ((1000, 1000, 0), (1000, 1000, 500), (1000, 1000, 960), (1000, 1100, 940), (300, 300, 290), (9000, 9000, 8900), (2000, 2100, 100)):
+        common = rng.integers(0, 2**64, both, dtype=np.uint64)
+        a, b = (np.sort(np.concatenate([common, rng.integers(0, 2**64, k - both, dtype=np.uint64)])) for k in (n, m))
+        rows.append((len(want), n, m, *(parity_join.middle_sketch(x).tolist() for x in (a, b))))
+        want.append(100 * both >= 80 * (n + m - both))
+    df = spark.createDataFrame(rows, "i int, na bigint, nb bigint, ma array<bigint>, mb array<bigint>")
+    near = parity_join._near(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"), 80, 100)
+    assert [r.ok for r in df.select("i", near.alias("ok")).orderBy("i").collect()] == want
