@@ -179,8 +179,8 @@ def narrow_sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def middle_sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity bits in integers, the least power of two that is the size of the set or more, from 256 to MIDDLE_BITS."""
-    bits = min(MIDDLE_BITS, max(256, 1 << (len(shingles) - 1).bit_length()))
+    """Parity bits in integers: 256, beyond so many shingles the least power of two that is their number or more, from 1,024 to MIDDLE_BITS."""
+    bits = 256 if len(shingles) <= 256 else min(MIDDLE_BITS, max(1024, 1 << (len(shingles) - 1).bit_length()))
     return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view("<i8")
 
 
@@ -317,11 +317,14 @@ def _possible(na: Column, nb: Column, sa: Column, sb: Column, num: int, den: int
 
 
 def _near(na: Column, nb: Column, ma: Column, mb: Column, num: int, den: int) -> Column:
-    """Middle sketches allow the link; sizes of possible partners make one at most twice as long, which is folded."""
+    """Middle sketches allow the link; the longer one is folded to the bits of the other, by half or from 1,024 to 256."""
     length = F.least(F.size(ma), F.size(mb))
 
+    def half(m: Column, n: Column) -> Column:
+        return F.zip_with(F.slice(m, 1, n), F.slice(m, n + 1, n), lambda x, y: x.bitwiseXOR(y))
+
     def folded(m: Column) -> Column:
-        return F.when(F.size(m) > length, F.zip_with(F.slice(m, 1, length), F.slice(m, length + 1, length), lambda x, y: x.bitwiseXOR(y))).otherwise(m)
+        return F.when(F.size(m) == 2 * length, half(m, length)).when(F.size(m) > length, half(half(m, 2 * length), length)).otherwise(m)
 
     apart = F.zip_with(folded(ma), folded(mb), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     return F.aggregate(apart, F.lit(0), lambda x, y: x + y) * (den + num) <= (na + nb) * (den - num)

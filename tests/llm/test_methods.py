@@ -232,7 +232,7 @@ def test_linked_sets_meet_without_their_largest_buckets():
 
 def test_the_last_join_tells_long_sets_apart(spark):
     rng, rows, want = np.random.default_rng(10), [], []
-    for n, m, both in ((1000, 1000, 0), (1000, 1000, 500), (1000, 1000, 960), (1000, 1100, 940), (300, 300, 290), (9000, 9000, 8900), (2000, 2100, 100)):
+    for n, m, both in ((1000, 1000, 0), (1000, 1000, 500), (1000, 1000, 960), (1000, 1100, 940), (300, 300, 290), (250, 300, 249), (250, 300, 40), (9000, 9000, 8900), (2000, 2100, 100)):
         common = rng.integers(0, 2**64, both, dtype=np.uint64)
         a, b = (np.sort(np.concatenate([common, rng.integers(0, 2**64, k - both, dtype=np.uint64)])) for k in (n, m))
         rows.append((len(want), n, m, *(parity_join.middle_sketch(x).tolist() for x in (a, b))))
