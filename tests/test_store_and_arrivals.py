@@ -103,3 +103,21 @@ def test_what_is_known_outlasts_many_batches_and_a_batch_that_is_run_again(spark
         assert found == {("a", 0), *[(f"d{k}", k) for k in range(5)]}
     finally:
         arrivals.WHOLE = whole
+
+
+def test_a_batch_keeps_no_texts_besides_its_clauses(spark, tmp_path):
+    rows = [(f"d{k}", "t", TEXT.format(k, k)) for k in range(20)]
+    write = arrivals._write_batch(f"{tmp_path}/out")
+    write(arrivals.checked(spark.createDataFrame(rows, arrivals.SCHEMA)), 0)
+    spark.sparkContext.setCheckpointDir(f"{tmp_path}/kept")
+    write(arrivals.checked(spark.createDataFrame([("d3", "t", TEXT.format(70, 70)), *rows[4:]], arrivals.SCHEMA)), 1)
+    assert not [p for p in (tmp_path / "kept").rglob("*") if p.is_file()]
+    known = {r["document_id"]: (r["version"], r["batch"]) for r in spark.read.parquet(f"{tmp_path}/out/known").where("batch = 1").collect()}
+    assert known == {"d3": (2, 1)}
+    shown = lambda rows: rows.select("document_id", "batch", F.md5("text").alias("digest"))
+    found = arrivals.read_clauses(spark, f"{tmp_path}/out", shown)
+    all_rows = arrivals.read_clauses(spark, f"{tmp_path}/out").select("document_id", "batch", F.md5("text").alias("digest"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, all_rows.collect())) and found.count() == 40
+    # The digest is taken ahead of the join, so no text travels.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("md5")
