@@ -48,3 +48,12 @@ def test_texts_travel_once_as_clauses(shuffled):
     got = payload.select(F.from_json("payload", "trigger string, source_clause struct<clause_id:string,text:string>, target_clause struct<clause_id:string,attention_level:string>").alias("p")).select("p.*").collect()
     assert [(r["trigger"], r["source_clause"]["text"], r["target_clause"]["clause_id"], r["target_clause"]["attention_level"]) for r in got] == [
         ("except as", "text one, except as noted", "c2", "Informational")]
+
+
+@pytest.mark.parametrize("name", ["d11_graph_edges"])
+def test_graphs_keep_no_texts(spark, monkeypatch, name):
+    kept, stage = [], Q.stage
+    monkeypatch.setattr(Q, "stage", lambda df: kept.append(df) or stage(df))
+    assert Q.QUERIES[name](spark, FOLDER).count() > 0
+    assert [df.columns for df in kept] == [["document_id", "relationship_id", "source_clause_id", "target_clause_id", "rank"]]
+    assert "source_text" not in kept[0]._jdf.queryExecution().optimizedPlan().toString()
