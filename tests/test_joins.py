@@ -50,7 +50,7 @@ def test_texts_travel_once_as_clauses(shuffled):
         ("except as", "text one, except as noted", "c2", "Informational")]
 
 
-@pytest.mark.parametrize("name", ["d11_graph_edges"])
+@pytest.mark.parametrize("name", ["d11_graph_edges", "d11_graph_nodes"])
 def test_graphs_keep_no_texts(spark, monkeypatch, name):
     kept, stage = [], Q.stage
     monkeypatch.setattr(Q, "stage", lambda df: kept.append(df) or stage(df))
